@@ -46,3 +46,9 @@ def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, nothing else. Pure ASCII takes the byte-wise lower()."""
     ascii_only = F.octet_length(text) == F.char_length(text)
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+def carried(df: DataFrame, *made: str) -> list[Column]:
+    """The columns of df that pass through: all but those whose names the operator itself makes."""
+    names = {m.lower() for m in made}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in names]

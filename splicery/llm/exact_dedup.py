@@ -2,8 +2,9 @@
 
 Rows are range-partitioned by sampled splitters over (first characters, hash) of the normalised text,
 sorted externally by the whole normalised text inside each range, and compared in full with their
-neighbours there. A text with more than `hot` copies is cut into slices of about `hot` rows before
-the shuffle; each slice elects its own first row, and the slices' winners meet in a second, tiny pass.
+neighbours there. A text that makes up more than 1/1000 of all rows (and more than `hot`) is cut into
+slices before the shuffle; each slice elects its own first row, and the slices' winners meet in a
+second, tiny pass. There are fewer than 1000 such texts, so their 8-byte hashes and winners are broadcast.
 
 Defined results: null text counts as empty and all empty texts are equal. Repeated rows (same doc_id
 and text) form a group of which exactly one row is kept; a null doc_id sorts last. An empty table
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from splicery.llm.common import without_white
+from splicery.llm.common import carried, without_white
 
 HOT = 2000
 PREFIX = 24
@@ -27,39 +28,37 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", h
     Of equal texts the row with the most code points in its original text stays, then the smallest key.
     """
     norm = without_white(F.coalesce(F.col(text), F.lit("")))
-    rest = [F.col(c) for c in docs.columns if c != text]
-    rows = docs.select(*rest, norm.alias("_x_norm"), F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("_x_n"))
+    made = (text, "keep_id", "group_size", "kept", "text_sha256")
+    rows = docs.select(*carried(docs, *made), norm.alias("_x_norm"), F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("_x_n"))
     rows = rows.withColumn("_x_h", F.xxhash64("_x_norm"))
 
-    # Texts with more than `hot` copies: at most rows/hot of them, and each is one 16-byte row.
-    counts = rows.groupBy("_x_h").agg(F.count(F.lit(1)).alias("_x_c")).filter(F.col("_x_c") > hot)
-    sliced = rows.join(counts, "_x_h", "left")
-    slices = F.ceil(F.col("_x_c") / hot)
-    sliced = sliced.withColumn("_x_slice", F.coalesce(F.pmod(F.xxhash64(key), slices), F.lit(0)))
+    limit = max(hot, docs.count() // 1000)
+    counts = rows.groupBy("_x_h").agg(F.count(F.lit(1)).alias("_x_c")).filter(F.col("_x_c") > limit)
+    slice_of = F.pmod(F.xxhash64(key), F.ceil(F.col("_x_c") / limit))
+    sliced = rows.join(F.broadcast(counts), "_x_h", "left").withColumn("_x_slice", F.coalesce(slice_of, F.lit(0)))
 
-    ranged = sliced.withColumn("_x_p", F.substring("_x_norm", 1, PREFIX)).repartitionByRange("_x_p", "_x_h", "_x_slice")
-    best = [F.col("_x_n").desc(), F.col(key).asc_nulls_last()]
-    equal = Window.partitionBy("_x_p", "_x_h", "_x_slice", "_x_norm").orderBy(*best)
-    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    placed = ranged.withColumns(
-        {
-            "_x_rank": F.row_number().over(equal),
-            "_x_first": F.first(F.struct("_x_n", key)).over(equal),
-            "_x_size": F.count(F.lit(1)).over(whole),
-            "text_sha256": F.sha2(F.col("_x_norm"), 256),
-            "_x_hot": F.col("_x_c").isNotNull(),
-        }
-    ).drop("_x_p", "_x_norm", "_x_c", "_x_n")
+    def placed(part: DataFrame) -> DataFrame:
+        ranged = part.withColumn("_x_p", F.substring("_x_norm", 1, PREFIX)).repartitionByRange("_x_p", "_x_h", "_x_slice")
+        equal = Window.partitionBy("_x_p", "_x_h", "_x_slice", "_x_norm").orderBy(F.col("_x_n").desc(), F.col(key).asc_nulls_last())
+        whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return ranged.withColumns(
+            {
+                "_x_rank": F.row_number().over(equal),
+                "_x_first": F.first(F.struct("_x_n", key)).over(equal),
+                "_x_size": F.count(F.lit(1)).over(whole),
+                "text_sha256": F.sha2(F.col("_x_norm"), 256),
+            }
+        )
 
     # A hot text's slices: one row each, joined back by its SHA-256.
-    winners = placed.filter("_x_hot and _x_rank = 1").groupBy("text_sha256").agg(
+    winners = placed(sliced.filter("_x_c is not null")).filter("_x_rank = 1").groupBy("text_sha256").agg(
         F.min(F.struct(-F.col("_x_first._x_n"), F.col(f"_x_first.{key}").isNull(), F.col(f"_x_first.{key}").alias("id"))).alias("_x_top"),
         F.sum("_x_size").alias("_x_total"),
     )
-    out = placed.join(winners, "text_sha256", "left")
+    out = placed(sliced).join(F.broadcast(winners), "text_sha256", "left")
     hot_row = F.col("_x_total").isNotNull()
     return out.select(
-        *[c for c in docs.columns if c != text],
+        *carried(docs, *made),
         F.when(hot_row, F.col("_x_top.id")).otherwise(F.col(f"_x_first.{key}")).alias("keep_id"),
         F.coalesce("_x_total", "_x_size").alias("group_size"),
         ((F.col("_x_rank") == 1) & (~hot_row | F.col("_x_top.id").eqNullSafe(F.col(key)))).alias("kept"),
