@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splicery.llm.common import WHITE, lower_ascii
+from splicery.llm.common import WHITE, carried, lower_ascii, stored
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -36,7 +36,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         .agg(F.countDistinct("_x_id").alias("_x_docs"), F.max("_x_id").alias("_x_keeper"))
         .filter(F.col("_x_docs") >= min_docs)
     )
-    # A hot line's rows are slim, and AQE splits their partition of this join.
+    # Written, so that the join below has a plain shuffle on either side, which AQE can split for a hot line, or broadcast.
+    frequent = stored(frequent, "frequent")
     lost = (
         lines.join(frequent, ["_x_a", "_x_b"])
         .filter(~F.col("_x_id").eqNullSafe(F.col("_x_keeper")))
@@ -50,7 +51,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     )
     kept = F.array_join(F.transform("_x_kept", lambda i: F.get("_x_lines", i)), "\n")
     return split.select(
-        *[F.coalesce(kept, F.col("_x_body")).alias(text) if c == text else F.col(c) for c in docs.columns],
+        *carried(docs, text, "n_lines", "n_dropped"),
+        F.coalesce(kept, F.col("_x_body")).alias(text),
         F.size("_x_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_x_lines") - F.size("_x_kept"), F.lit(0)).cast("long").alias("n_dropped"),
     )
