@@ -3,7 +3,7 @@
 Features of a text are the distinct hashed words, word pairs, and pairs with one or two words left out.
 Training takes a bounded sample of labelled rows (`max_rows`, chosen by hash of the key): their feature
 indices are extracted in parallel, and one task of bounded size runs the sequential FTRL updates with
-per-coordinate rates. L1 leaves a few thousand weights, which are broadcast; every text is then scored
+per-coordinate rates over the features that at least `min_docs` of those rows have. L1 leaves a few thousand weights, which are broadcast; every text is then scored
 whole, in Arrow batches, without a shuffle.
 
 Defined results: null, empty and wordless texts score as the intercept alone. Label rows with a null
@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from splicery.llm.common import carried
 from splicery.llm.words import ALNUM, mixed, words
 
-DIM_BITS = 20
+DIM_BITS = 22
 MAX_ROWS = 12_000
-EPOCHS = 6
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 1.0
+MIN_DOCS = 4
+EPOCHS = 10
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 1.0
+POSITIVE_WEIGHT = 2.0
 THRESHOLD = 0.7
 
 _A, _B = np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xAAAAAAAAAAAAAAAB)
@@ -56,10 +58,14 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"ord": batch.column(0), "y": batch.column(1), "x": pa.array(out, pa.list_(pa.int32()))})
 
 
-def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = DIM_BITS, epochs: int = EPOCHS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2) -> tuple[np.ndarray, float]:
+def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = DIM_BITS, epochs: int = EPOCHS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, min_docs: int = MIN_DOCS, positive=POSITIVE_WEIGHT) -> tuple[np.ndarray, float]:
     """Weights and intercept after `epochs` passes in the given order."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     zb = nb = 0.0
+    docs = np.zeros(1 << bits, np.int32)
+    for _, x in examples:
+        docs[x] += 1
+    examples = [(y, x[docs[x] >= min_docs]) for y, x in examples]
     for _ in range(epochs):
         for y, x in examples:
             zx, nx = z[x], n[x]
@@ -67,7 +73,7 @@ def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = DIM_BITS, epochs: i
             w = np.where(np.abs(zx) > l1, (np.sign(zx) * l1 - zx) / ((beta + root) / alpha + l2), 0.0)
             wb = -zb / ((beta + nb**0.5) / alpha + l2)
             p = 1 / (1 + np.exp(-np.clip(w.sum() + wb, -30, 30)))
-            g = p - y
+            g = (p - y) * (positive if y else 1.0)
             z[x] = zx + g - (np.sqrt(nx + g * g) - root) / alpha * w
             n[x] = nx + g * g
             zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * wb
