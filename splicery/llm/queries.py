@@ -24,6 +24,22 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splicery.llm.license_scan import scan_licenses
+
+    out = scan_licenses(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from splicery.llm.token_output import token_files
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from splicery.llm.near_dedup import near_duplicates
 
@@ -46,6 +62,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op7_token_output": op7_token_output,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
