@@ -11,7 +11,8 @@ only: at most one pair a text. Linked texts form components. A bucket that then
 component is not settled by its star; all its members go to an exact pass. There, shingles seen in one
 component only cannot link two, so they sort first; the others follow by rising frequency, and two
 texts of different components with Jaccard >= t share one of the first n - ceil(t * n) + 1 shingles of
-that order (prefix filtering). Pairs from it are confirmed on full sets as well. Nothing is capped.
+that order (prefix filtering), and the place of the first shared one bounds the other text's size. Pairs
+from it are confirmed on full sets as well. Nothing is capped.
 
 Components come from alternating large-star and small-star rounds; each round is a written table.
 
@@ -22,6 +23,7 @@ An empty table gives no rows. Only the key and text columns are read, under name
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -133,6 +135,21 @@ def components(links: DataFrame, where: str) -> DataFrame:
         edges = stored(joined.distinct(), f"edges{k}", where)
 
 
+def _within_bounds(prefixes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a prefix shingle, as far as sizes and places allow the similarity."""
+    # The larger text looks for smaller ones, by classes of sizes 10 % apart that its bounds leave open.
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / math.log(1.1) + 1e-9).cast("int")
+    least, most = F.ceil(F.col("n") * NUM / DEN).cast("int"), F.least("n", "most")
+    larger = prefixes.filter(least <= most).select(
+        "token", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"),
+        F.explode(F.sequence(size_class(least), size_class(most))).alias("class"),
+    )
+    smaller = prefixes.select("token", "id", "comp", "n", "most", size_class(F.col("n")).alias("class"))
+    fits = (F.col("n") <= F.col("most_b")) & (F.col("n_b") <= F.col("most")) & (F.col("n") * DEN >= F.col("n_b") * NUM)
+    ordered = (F.col("n") < F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("id") < F.col("b")))
+    return smaller.join(larger, ["token", "class"]).filter((F.col("comp") != F.col("comp_b")) & fits & ordered).select(F.col("id").alias("a"), "b")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     spark = docs.sparkSession
@@ -167,15 +184,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
         tokens.join(across, "token")
         .groupBy("id", "comp", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-        .withColumn("left", (first - (F.col("n") - F.size("ranked"))).cast("int"))
+        .withColumn("alone", F.col("n") - F.size("ranked"))
+        .withColumn("left", (first - F.col("alone")).cast("int"))
         .filter("left > 0")
-        .select("id", "comp", "n", F.explode(F.slice("ranked", F.lit(1), F.col("left"))).alias("r"))
-        .select("id", "comp", "n", F.col("r.token").alias("token"))
+        .select("id", "comp", "n", "alone", F.posexplode(F.slice("ranked", F.lit(1), F.col("left"))).alias("at", "r"))
+        .select("id", "comp", "n", F.col("r.token").alias("token"), (F.col("alone") + F.col("at")).alias("at"))
+        # With this shingle as the first that two texts share, at most n - at are shared: so large can the other be.
+        .withColumn("most", F.floor((F.col("n") - F.col("at")) * (NUM + DEN) / NUM).cast("int") - F.col("n"))
     )
     prefixes = stored(prefixes, "prefixes", where)
-    other = prefixes.select("token", F.col("id").alias("b"), F.col("comp").alias("comp_b"), F.col("n").alias("n_b"))
-    alike = (F.least("n", "n_b") * DEN) >= (F.greatest("n", "n_b") * NUM)
-    more = prefixes.join(other, "token").filter((F.col("id") < F.col("b")) & (F.col("comp") != F.col("comp_b")) & alike).select(F.col("id").alias("a"), "b").distinct()
+    more = _within_bounds(prefixes).distinct()
     late = stored(_confirmed(more, sets), "late", where)
     if late.isEmpty():
         found = labels
