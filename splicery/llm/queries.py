@@ -24,6 +24,22 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splicery.llm.html_extract import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from splicery.llm.pieces import encode_pieces
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), keep_ids=False)
+    return out.select("doc_id", "n_pieces", "ids_crc32", "best_score", "n_best", "last_score", "round_trip")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from splicery.llm.license_scan import scan_licenses
 
@@ -31,6 +47,12 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from splicery.llm.fingerprint import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,7 +84,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": op2_line_dedup,
+    "op3_html_extract": op3_html_extract,
+    "op4_pieces": op4_pieces,
     "op5_license_scan": op5_license_scan,
+    "op6_fingerprint": op6_fingerprint,
     "op7_token_output": op7_token_output,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
