@@ -19,6 +19,8 @@ next document. An empty table gives no rows. Only key and text are read.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ M = 24
 _POSITION = (1 << 24) - 1
 
 
+def _mask(j: int) -> int:
+    """Hash function j is y XOR this: each maps the (random) hashes y one to one, and ranks them by another point's distance."""
+    bits = int.from_bytes(hashlib.sha256(b"fingerprint %d" % j).digest()[:8], "big", signed=True)
+    return bits & ~_POSITION
+
+
 def numbered_kmers(text: Column, k: int = K) -> Column:
     """Hashes of the occurrence-numbered k-mers of a text, in text order."""
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
@@ -36,7 +44,7 @@ def numbered_kmers(text: Column, k: int = K) -> Column:
 
     def occurrences(h: Column) -> Column:
         # Sorted by hash, a k-mer's number is its distance from the start of its run; the starts spread by doubling steps.
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
 
         def ranked(p: Column) -> Column:
             starts = F.transform(p, lambda x, i: F.when((i > 0) & (F.get(p, i - 1)["h"] == x["h"]), F.lit(0)).otherwise(i))
@@ -45,7 +53,7 @@ def numbered_kmers(text: Column, k: int = K) -> Column:
                 steps, starts, lambda s, e: F.transform(s, lambda v, i: F.greatest(v, F.coalesce(F.get(s, i - F.pow(F.lit(2), e).cast("int")), F.lit(0))))
             )
             numbered = F.zip_with(p, F.transform(spread, lambda s, i: i - s), lambda x, n: F.struct(x["at"].alias("at"), F.xxhash64(x["h"], n).alias("y")))
-            return F.transform(F.array_sort(numbered), lambda x: x["y"])
+            return F.transform(F.sort_array(numbered), lambda x: x["y"])
 
         return F.transform(F.array(pairs), ranked)[0]
 
@@ -82,9 +90,11 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
 
 def selected(kmers: DataFrame, keys: list[str], m: int = M) -> DataFrame:
     """(keys, parts): the fingerprint of each (keys, y) row, y being the text's k-mers; null where all of y is null."""
-    each = kmers.select(*keys, F.posexplode("y").alias("at", "y")).withColumn("half", F.col("y").bitwiseAND(F.lit(1)))
-    pick = lambda j: F.when(F.col("y").isNotNull(), F.xxhash64("y", F.lit(j)).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(F.least("at", F.lit(_POSITION)).cast("long")))
-    halves = each.groupBy(*keys, "half").agg(*[F.min(pick(j)).alias(f"m{j}") for j in range(m)])
+    # The outer form: a text without k-mers keeps its row, and no filter that computes y again is inferred.
+    each = kmers.select(*keys, F.posexplode_outer("y").alias("at", "y"))
+    slim = F.col("y").bitwiseAND(F.lit(~_POSITION)).bitwiseOR(F.least("at", F.lit(_POSITION)).cast("long"))
+    each = each.select(*keys, F.col("y").bitwiseAND(F.lit(1)).alias("half"), slim.alias("v"))
+    halves = each.groupBy(*keys, "half").agg(*[F.min(F.col("v").bitwiseXOR(F.lit(_mask(j)))).alias(f"m{j}") for j in range(m)])
     both = halves.groupBy(*keys).agg(*[F.max(F.when(F.col("half") == h, F.col(f"m{j}"))).alias(f"m{j}_{h}") for j in range(m) for h in (0, 1)])
 
     def part(j: int) -> Column:
@@ -120,8 +130,6 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     versions = base.select("range", "place", "guest", "key", "n_chars", "sha", F.posexplode("texts").alias("version", "body")).filter("body is not null")
     kmers = versions.select("range", "place", "guest", "key", "n_chars", "sha", "version", numbered_kmers(F.col("body"), k).alias("y"))
     keys = ["range", "place", "guest", "key", "n_chars", "sha"]
-    # A text without k-mers keeps its row: one null k-mer, which no minimum sees.
-    kmers = kmers.withColumn("y", F.when(F.size("y") > 0, F.col("y")).otherwise(F.array(F.lit(None).cast("bigint"))))
     found = selected(kmers, [*keys, "version"], m)
     wide = found.groupBy(*keys).agg(F.max(F.when(F.col("version") == 0, F.col("parts"))).alias("own"), F.max(F.when(F.col("version") == 1, F.col("parts"))).alias("other"))
     after = Window.partitionBy("range").orderBy("place")
