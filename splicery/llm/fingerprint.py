@@ -36,30 +36,42 @@ def _mask(j: int) -> int:
     return bits & ~_POSITION
 
 
+def _value(h: Column, number: Column | int, at: Column) -> Column:
+    """A numbered k-mer's hash in the upper bits, its position in the lower ones."""
+    return F.xxhash64(h, number if isinstance(number, Column) else F.lit(number)).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(F.least(at, F.lit(_POSITION)).cast("long"))
+
+
 def numbered_kmers(text: Column, k: int = K) -> Column:
-    """Hashes of the occurrence-numbered k-mers of a text, in text order."""
+    """Values of the occurrence-numbered k-mers of a text, in any order.
+
+    `F.transform(F.array(x), f)[0]` stands for f(x) with x computed once.
+    """
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     words = F.transform(F.split(trimmed, "[\\x20\\x09-\\x0D]+"), lambda w: F.xxhash64(w))
     plain = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))[0]
 
-    def occurrences(h: Column) -> Column:
+    def ranked(pairs: Column) -> Column:
         # Sorted by hash, a k-mer's number is its distance from the start of its run; the starts spread by doubling steps.
-        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at"))))
-
-        def ranked(p: Column) -> Column:
-            starts = F.transform(p, lambda x, i: F.when((i > 0) & (F.get(p, i - 1)["h"] == x["h"]), F.lit(0)).otherwise(i))
-            steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(p))).cast("int"))
-            spread = F.aggregate(
-                steps, starts, lambda s, e: F.transform(s, lambda v, i: F.greatest(v, F.coalesce(F.get(s, i - F.pow(F.lit(2), e).cast("int")), F.lit(0))))
-            )
-            numbered = F.zip_with(p, F.transform(spread, lambda s, i: i - s), lambda x, n: F.struct(x["at"].alias("at"), F.xxhash64(x["h"], n).alias("y")))
-            return F.transform(F.sort_array(numbered), lambda x: x["y"])
-
-        return F.transform(F.array(pairs), ranked)[0]
+        starts = F.transform(pairs, lambda x, i: F.when((i > 0) & (F.get(pairs, i - 1)["h"] == x["h"]), F.lit(0)).otherwise(i))
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(pairs))).cast("int"))
+        spread = F.aggregate(steps, starts, lambda s, e: F.transform(s, lambda v, i: F.greatest(v, F.coalesce(F.get(s, i - F.pow(F.lit(2), e).cast("int")), F.lit(0)))))
+        return F.zip_with(pairs, F.transform(spread, lambda s, i: i - s), lambda x, n: _value(x["h"], n, x["at"]))
+
+    def numbered(h: Column, repeated: Column) -> Column:
+        all_pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at")))
+        few = F.size(repeated) <= 64
+        pairs = F.when(few, F.filter(all_pairs, lambda x: F.array_contains(repeated, x["h"]))).otherwise(all_pairs)
+        single = F.transform(F.filter(all_pairs, lambda x: ~F.array_contains(repeated, x["h"])), lambda x: _value(x["h"], 0, x["at"]))
+        again = F.transform(F.array(F.sort_array(pairs)), ranked)[0]
+        return F.when(few, F.concat(single, again)).otherwise(again)
+
+    def repeats(h: Column) -> Column:
+        return F.transform(F.array(F.sort_array(h)), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))))[0]
 
     def number(h: Column) -> Column:
-        fast = F.transform(h, lambda x: F.xxhash64(x, F.lit(0)))
-        return F.when(F.size(F.array_distinct(h)) == F.size(h), fast).otherwise(occurrences(h))
+        fast = F.transform(h, lambda x, i: _value(x, 0, i))
+        slow = F.transform(F.array(repeats(h)), lambda r: numbered(h, r))[0]
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), fast).otherwise(slow)
 
     return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.array(plain), number)[0])
 
@@ -88,23 +100,35 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return placed.repartitionByRange(parts, "range").select("range", "guest", "key", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
 
 
-def selected(kmers: DataFrame, keys: list[str], m: int = M) -> DataFrame:
-    """(keys, parts): the fingerprint of each (keys, y) row, y being the text's k-mers; null where all of y is null."""
-    # The outer form: a text without k-mers keeps its row, and no filter that computes y again is inferred.
-    each = kmers.select(*keys, F.posexplode_outer("y").alias("at", "y"))
-    slim = F.col("y").bitwiseAND(F.lit(~_POSITION)).bitwiseOR(F.least("at", F.lit(_POSITION)).cast("long"))
-    each = each.select(*keys, F.col("y").bitwiseAND(F.lit(1)).alias("half"), slim.alias("v"))
-    halves = each.groupBy(*keys, "half").agg(*[F.min(F.col("v").bitwiseXOR(F.lit(_mask(j)))).alias(f"m{j}") for j in range(m)])
-    both = halves.groupBy(*keys).agg(*[F.max(F.when(F.col("half") == h, F.col(f"m{j}"))).alias(f"m{j}_{h}") for j in range(m) for h in (0, 1)])
+def fingerprint_parts(texts: DataFrame, carry: list[str], k: int = K, m: int = M) -> DataFrame:
+    """For rows (range, place, version, body, *carry): (range, place, *carry, own, other), the parts of versions 0 and 1.
 
-    def part(j: int) -> Column:
-        a, b = F.coalesce(f"m{j}_0", F.lit(0)), F.coalesce(f"m{j}_1", F.lit(0))
+    `carry` columns are numbers, alike in both versions: with fixed-width keys and buffers the k-mers of a task go through one
+    hash aggregation, each as a row of two keys and a value. A text without k-mers has null parts.
+    """
+    kmers = texts.select("range", "place", "version", *carry, numbered_kmers(F.col("body"), k).alias("v"))
+    # The outer form: a text without k-mers keeps its row, and no filter that computes the array again is inferred.
+    each = kmers.select("range", "place", "version", *carry, F.explode_outer("v").alias("v"))
+    half = F.when(F.col("v").bitwiseAND(F.lit(_POSITION + 1)) == 0, F.lit(0)).otherwise(F.lit(1))
+    each = each.select("range", (F.col("place").cast("long") * 4 + F.col("version") * 2 + half).alias("code"), "v", *carry)
+    mins = each.groupBy("range", "code").agg(*[F.min(F.col("v").bitwiseXOR(F.lit(_mask(j)))).alias(f"m{j}") for j in range(m)], *[F.max(c).alias(c) for c in carry])
+    mins = mins.select("range", "code", *carry, F.array(*[F.col(f"m{j}").bitwiseXOR(F.lit(_mask(j))) for j in range(m)]).alias("m"))
+    # At most four rows a document from here on.
+    spot = lambda version, h: F.max(F.when(F.col("code") % 4 == 2 * version + h, F.col("m"))).alias(f"m{version}{h}")
+    wide = mins.groupBy("range", F.floor(F.col("code") / 4).cast("long").alias("place")).agg(*[spot(x, h) for x in (0, 1) for h in (0, 1)], *[F.max(c).alias(c) for c in carry])
+
+    def part(a: Column, b: Column) -> Column:
         x, y = a.bitwiseAND(F.lit(~_POSITION)), b.bitwiseAND(F.lit(~_POSITION))
         forward = a.bitwiseAND(F.lit(_POSITION)) <= b.bitwiseAND(F.lit(_POSITION))
         return F.when(forward, F.xxhash64(x, y)).otherwise(F.xxhash64(y, x)).bitwiseAND(F.lit(0xFFFFFFFF))
 
-    some = F.coalesce("m0_0", "m0_1").isNotNull()
-    return both.select(*keys, F.when(some, F.array(*[part(j) for j in range(m)])).alias("parts"))
+    def parts(version: int) -> Column:
+        # Of a half without k-mers nothing is selected: a zero stands in.
+        none = F.array_repeat(F.lit(0).cast("long"), m)
+        low, high = (F.when(F.get(f"m{version}{h}", F.lit(0)).isNotNull(), F.col(f"m{version}{h}")) for h in (0, 1))
+        return F.when(low.isNotNull() | high.isNotNull(), F.zip_with(F.coalesce(low, none), F.coalesce(high, none), part))
+
+    return wide.select("range", "place", *carry, parts(0).alias("own"), parts(1).alias("other"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -125,16 +149,15 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     rows = with_next(docs, text, key).withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - third), F.left(F.coalesce("next_text", F.lit("")), third))
-    rows = rows.withColumn("edited", edited)
-    base = rows.select("range", "place", "guest", "key", "n_chars", F.sha2(F.col("edited"), 256).alias("sha"), F.array(F.col("text"), F.when(~F.col("guest"), F.col("edited"))).alias("texts"))
-    versions = base.select("range", "place", "guest", "key", "n_chars", "sha", F.posexplode("texts").alias("version", "body")).filter("body is not null")
-    kmers = versions.select("range", "place", "guest", "key", "n_chars", "sha", "version", numbered_kmers(F.col("body"), k).alias("y"))
-    keys = ["range", "place", "guest", "key", "n_chars", "sha"]
-    found = selected(kmers, [*keys, "version"], m)
-    wide = found.groupBy(*keys).agg(F.max(F.when(F.col("version") == 0, F.col("parts"))).alias("own"), F.max(F.when(F.col("version") == 1, F.col("parts"))).alias("other"))
+    # A SHA-256 travels as four longs, so that no string takes part in the aggregation.
+    sha = [F.conv(F.substring("sha", 1 + 16 * i, 16), 16, -10).cast("long").alias(f"sha{i}") for i in range(4)]
+    carry = ["guest", "key", "n_chars", "sha0", "sha1", "sha2", "sha3"]
+    base = rows.withColumn("edited", edited).withColumn("sha", F.sha2(F.col("edited"), 256)).select("range", "place", "guest", "key", "n_chars", *sha, F.array(F.col("text"), F.when(~F.col("guest"), F.col("edited"))).alias("texts"))
+    versions = base.select("range", "place", *carry, F.posexplode_outer("texts").alias("version", "body")).filter("body is not null")
+    wide = fingerprint_parts(versions, carry, k, m)
     after = Window.partitionBy("range").orderBy("place")
     out = wide.withColumn("following", F.lead("own").over(after)).filter("not guest")
     return out.select(
-        F.col("key").alias(key), "n_chars", F.col("sha").alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
+        F.col("key").alias(key), "n_chars", F.concat(*[F.lower(F.lpad(F.hex(f"sha{i}"), 16, "0")) for i in range(4)]).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
     )
