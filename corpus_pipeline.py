@@ -1,8 +1,79 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: toxicity, line dedup, near-dedup, mixing, pieces.
+
+Each stage is (name, function of (spark, docs, sf_dir)); its result is written as Parquet and read again as the
+next stage's docs. Every stage but the last returns the columns of documents. No SQL expresses the first stage
+(a trained model) or the last (a search), so ORACLE_SQL is None; tests hold run() against a plain version.
+
+Nulls, empty texts, repeated rows and empty tables are treated as each operator states. n_chars follows the text
+where a stage changes it. The mixing stage repeats documents whose source's target exceeds its size, and cuts the
+one document in which a source's target ends.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from splicery.llm.common import shared_dir, stored
+from splicery.llm.line_dedup import dedup_lines
+from splicery.llm.mixing import mix, mixed_stream
+from splicery.llm.near_dedup import near_duplicates
+from splicery.llm.pieces import encode_pieces
+from splicery.llm.toxicity import toxicity
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def piece_model() -> str:
+    """The vocabulary file of the last stage."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the model does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity(docs, labels).filter("predicted = 0").select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that others hold too."""
+    return dedup_lines(docs).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, and every other document."""
+    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    mixed = mixed_stream(mix(docs), COLUMNS)
+    return mixed.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their best segmentation and the other N-best ones."""
+    return encode_pieces(docs, piece_model())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("pieces", to_pieces),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    where = shared_dir(spark)
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name, where)
+    return STAGES[-1][1](spark, docs, sf_dir)
