@@ -76,7 +76,7 @@ def read_cues(spark: SparkSession, path: str) -> DataFrame:
     part = lambda k: F.regexp_extract("block", line, k).cast("double")
     seconds = lambda k: part(k) * 3600 + part(k + 1) * 60 + part(k + 2) + part(k + 3) / 1000
     found = blocks.filter(F.col("block").rlike(clock + r"\s*-->"))
-    return found.select("path", seconds(1).alias("start_sec"), seconds(5).alias("end_sec"), F.trim(F.regexp_extract("block", line, 9)).alias("content"))
+    return found.select("path", seconds(1).alias("start_sec"), seconds(5).alias("end_sec"), F.btrim(F.regexp_extract("block", line, 9), F.lit(" \t\n")).alias("content"))
 
 
 def parse_progress(line: Column) -> Column:
