@@ -8,7 +8,7 @@ falls with insertions, deletions and moves alike. (The two minima come from disj
 a plain min() finds them, so selection is one hash aggregation inside the task that holds the text.)
 
 Texts meet the next text, in descending key order, inside key ranges: sampled quantiles split the keys into
-as many ranges as there are shuffle partitions; the first row of each range is also sent to the end of the
+four times as many ranges as there are shuffle partitions; the first row of each range is also sent to the end of the
 range before it. Texts are shuffled once.
 
 Defined results: null text counts as empty. Of rows with one key those with the smaller text hash come first,
@@ -20,6 +20,7 @@ next document. An empty table gives no rows. Only key and text are read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,16 +77,28 @@ def numbered_kmers(text: Column, k: int = K) -> Column:
     return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.array(plain), number)[0])
 
 
+def _cuts_above(key: Column, cuts: list[int]) -> Column:
+    """How many of the ascending cuts are above the key: first over every block's last cut, then inside one block."""
+    if not cuts:
+        return F.lit(0)
+    block = math.isqrt(len(cuts)) + 1
+    longs = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<bigint>")
+    upto = lambda xs: F.size(F.filter(xs, lambda c: c <= key))
+    whole = upto(longs(cuts[block - 1 :: block])) * block
+    return F.lit(len(cuts)) - whole - upto(F.slice(longs(cuts), whole + 1, F.lit(block)))
+
+
 def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(range, place, key, text, next_text, guest) of every row; a guest row only ends its range and is the first of another."""
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    cuts = sorted(set(rows.select("key").dropna().approxQuantile("key", [i / parts for i in range(1, parts)], 1 / (10 * parts)))) if parts > 1 else []
-    splits = F.array(*[F.lit(int(c)) for c in cuts]) if cuts else F.array().cast("array<bigint>")
+    # Four ranges for each partition, so that partitions made of whole ranges come out even.
+    n = 4 * parts
+    cuts = sorted({int(c) for c in rows.select("key").dropna().approxQuantile("key", [i / n for i in range(1, n)], 1 / (10 * n))})
     # Ranges are numbered from the largest keys on; null keys form the last.
-    rows = rows.withColumn("range", F.when(F.col("key").isNull(), F.lit(len(cuts) + 1)).otherwise(F.size(F.filter(splits, lambda s: s > F.col("key")))))
-    # One row a range: at most as many as there are partitions, and one for null keys.
+    rows = rows.withColumn("range", F.when(F.col("key").isNull(), F.lit(len(cuts) + 1)).otherwise(_cuts_above(F.col("key"), cuts)))
+    # One row a range: at most four times as many as there are partitions, and one for null keys.
     by_range, everything = Window.orderBy("range"), Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = rows.groupBy("range").agg(F.min(F.struct(F.bitwise_not(F.col("key")).alias("down"), "th")).alias("top"))
     guests = heads.select(
