@@ -2,9 +2,9 @@
 
 Rows are range-partitioned by sampled splitters over (first characters, hash) of the normalised text,
 sorted externally by the whole normalised text inside each range, and compared in full with their
-neighbours there. A text that makes up more than 1/1000 of all rows (and more than `hot`) is cut into
-slices before the shuffle; each slice elects its own first row, and the slices' winners meet in a
-second, tiny pass. There are fewer than 1000 such texts, so their 8-byte hashes and winners are broadcast.
+neighbours there. A text that makes up more than 1/HOT_TEXTS of all rows (and more than `hot`) is cut
+into slices of that size before the shuffle; each slice elects its own first row, and the slices' winners
+meet in a second, small pass. There are fewer than HOT_TEXTS such texts: their hashes and winners are broadcast.
 
 Defined results: null text counts as empty and all empty texts are equal. Repeated rows (same doc_id
 and text) form a group of which exactly one row is kept; a null doc_id sorts last. An empty table
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from splicery.llm.common import carried, without_white
 
-HOT = 2000
+#: Copies of a text from which it is cut into slices, at least; and the largest number of such texts.
+HOT, HOT_TEXTS = 100, 100_000
 PREFIX = 24
 
 
@@ -32,7 +33,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", h
     rows = docs.select(*carried(docs, *made), norm.alias("_x_norm"), F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("_x_n"))
     rows = rows.withColumn("_x_h", F.xxhash64("_x_norm"))
 
-    limit = max(hot, docs.count() // 1000)
+    limit = max(hot, docs.count() // HOT_TEXTS)
     counts = rows.groupBy("_x_h").agg(F.count(F.lit(1)).alias("_x_c")).filter(F.col("_x_c") > limit)
     slice_of = F.pmod(F.xxhash64(key), F.ceil(F.col("_x_c") / limit))
     sliced = rows.join(F.broadcast(counts), "_x_h", "left").withColumn("_x_slice", F.coalesce(slice_of, F.lit(0)))
