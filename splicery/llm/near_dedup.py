@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     slots = classes.select("rep", F.explode("bands").alias("bucket"))
     stars = slots.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).filter("centre <> other").select("bucket", "centre")
-    shared = stored(slots.join(stars, "bucket"), "shared", where)
+    # Aggregated sides are written before they are joined: a plain shuffle on either side is one that AQE can split for a hot key.
+    shared = stored(slots.join(stored(stars, "stars", where), "bucket"), "shared", where)
     pairs = shared.filter("rep <> centre").groupBy("rep").agg(F.min("centre").alias("centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
     involved = shared.select(F.col("rep").alias("id")).distinct()
     sets = stored(rows.join(involved, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, set array<long>"), "sets", where)
@@ -176,9 +177,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     # The exact pass over buckets that hold more than one component.
     labelled = shared.select("bucket", F.col("rep").alias("id")).join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("comp"))
     mixed_buckets = labelled.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
+    mixed_buckets = stored(mixed_buckets, "mixed", where)
     open_rows = stored(labelled.join(mixed_buckets, "bucket", "left_semi").select("id", "comp").distinct(), "open", where)
     tokens = open_rows.join(sets, "id").select("id", "comp", F.size("set").alias("n"), F.explode("set").alias("token"))
     across = tokens.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("df")).filter("x <> y").select("token", "df")
+    across = stored(across, "across", where)
     first = F.col("n") - F.ceil(F.col("n") * NUM / DEN) + 1  # so many in the order of single-component shingles, then rising frequency
     prefixes = (
         tokens.join(across, "token")
