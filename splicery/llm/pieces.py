@@ -34,7 +34,9 @@ from splicery.llm.words import mixed
 SPACE = "▁"
 _OWN = "\ud800"  # stands for a text's own U+2581
 N_BEST = 4
-KEPT = 1_000_000
+KEPT = 200_000
+#: Words of one forward pass.
+STEP = 8_000
 #: Longer words, and words behind several spaces, take the plain forward pass.
 PLAIN = 64
 PENALTY = 10.0
@@ -106,16 +108,16 @@ class Pieces:
 
     def _tables(self) -> None:
         """Two hash tables of the pieces, by the upper bits of their hash."""
-        self._up = np.cumprod(np.full(1 << 21, _BASE, np.uint64)) * np.uint64(pow(_BASE, -1, 1 << 64))
-        self._down = np.cumprod(np.full(1 << 21, pow(_BASE, -1, 1 << 64), np.uint64)) * np.uint64(_BASE)
+        self._up = np.cumprod(np.full(1 << 20, _BASE, np.uint64)) * np.uint64(pow(_BASE, -1, 1 << 64))
+        self._down = np.cumprod(np.full(1 << 20, pow(_BASE, -1, 1 << 64), np.uint64)) * np.uint64(_BASE)
         names = list(self.score)
         codes = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(x) for x in names])
         h = self._hashes(codes, ends - [len(x) for x in names], ends)
         self._slots, rest = [], np.arange(len(h))
-        for shift in (44, 24, 4):
-            key, value = np.zeros(1 << 20, np.uint64), np.full(1 << 20, -1, np.int32)
-            slot = ((h[rest] >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.int64)
+        for shift in (46, 28, 10):
+            key, value = np.zeros(1 << 18, np.uint64), np.full(1 << 18, -1, np.int32)
+            slot = ((h[rest] >> np.uint64(shift)) & np.uint64((1 << 18) - 1)).astype(np.int64)
             key[slot], value[slot] = h[rest], rest
             self._slots.append((shift, key, value))
             rest = rest[value[slot] != rest]
@@ -144,7 +146,7 @@ class Pieces:
             h = mixed((total[at + n] - total[at]) * self._down[at])
             hit = np.full(len(at), -1, np.int32)
             for shift, key, value in self._slots:
-                slot = ((h >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.int64)
+                slot = ((h >> np.uint64(shift)) & np.uint64((1 << 18) - 1)).astype(np.int64)
                 hit = np.where((key[slot] == h) & (hit < 0), value[slot], hit)
             v, p = np.full(len(codes), -np.inf), np.zeros(len(codes), np.int64)
             got = hit >= 0
@@ -206,8 +208,8 @@ class Pieces:
 
     def _learn(self, new: list[str]) -> None:
         plain = [w for w in new if len(w) < PLAIN and not w.startswith(SPACE)]
-        for i in range(0, len(plain), 20_000):
-            some = plain[i : i + 20_000]
+        for i in range(0, len(plain), STEP):
+            some = plain[i : i + STEP]
             self._add(some, *self._many(some))
         for w in set(new).difference(plain):
             (top, ids), *more = self.search(self.lattice_of(w), 2)
@@ -244,7 +246,7 @@ class Pieces:
         """For each text the ids of its best segmentation, and (score, changes) of its N best; a change is (word number, ids)."""
         if len(self.known) > KEPT:
             self.clear()
-        if len(self.lists) > KEPT // 4:
+        if len(self.lists) > KEPT // 8:
             self.lists = {}
         parts = [self.words_of(t) for t in texts]
         flat = list(chain.from_iterable(parts))

@@ -58,9 +58,10 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"ord": batch.column(0), "y": batch.column(1), "x": pa.array(out, pa.list_(pa.int32()))})
 
 
-def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = DIM_BITS, epochs: int = EPOCHS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, min_docs: int = MIN_DOCS, positive=POSITIVE_WEIGHT) -> tuple[np.ndarray, float]:
-    """Weights and intercept after `epochs` passes in the given order."""
+def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = DIM_BITS, epochs: int = EPOCHS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, min_docs: int = MIN_DOCS, positive=POSITIVE_WEIGHT) -> tuple[np.ndarray, np.ndarray, float]:
+    """(indices, weights, intercept) after `epochs` passes in the given order."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
+    weight = lambda zs, ns: (np.sign(zs) * l1 - zs) / ((beta + np.sqrt(ns)) / alpha + l2)  # noqa: E731  where |z| > l1, else 0
     zb = nb = 0.0
     docs = np.zeros(1 << bits, np.int32)
     for _, x in examples:
@@ -70,7 +71,7 @@ def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = DIM_BITS, epochs: i
         for y, x in examples:
             zx, nx = z[x], n[x]
             root = np.sqrt(nx)
-            w = np.where(np.abs(zx) > l1, (np.sign(zx) * l1 - zx) / ((beta + root) / alpha + l2), 0.0)
+            w = np.where(np.abs(zx) > l1, weight(zx, nx), 0.0)
             wb = -zb / ((beta + nb**0.5) / alpha + l2)
             p = 1 / (1 + np.exp(-np.clip(w.sum() + wb, -30, 30)))
             g = (p - y) * (positive if y else 1.0)
@@ -78,8 +79,8 @@ def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = DIM_BITS, epochs: i
             n[x] = nx + g * g
             zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * wb
             nb += g * g
-    w = np.where(np.abs(z) > l1, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2), 0.0)
-    return w, float(-zb / ((beta + nb**0.5) / alpha + l2))
+    at = np.flatnonzero(np.abs(z) > l1)
+    return at, weight(z[at], n[at]), float(-zb / ((beta + nb**0.5) / alpha + l2))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: str = "text", key: str = "doc_id", label: str = "toxic") -> tuple[np.ndarray, np.ndarray, float]:
@@ -97,9 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: st
             x = b.column(2)
             values, offs = x.values.to_numpy(), x.offsets.to_numpy()
             examples += [(y, values[i:j]) for y, i, j in zip(b.column(1).to_pylist(), offs[:-1], offs[1:], strict=True)]
-        w, bias = ftrl(examples) if examples else (np.zeros(1), 0.0)
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_pydict({"i": pa.array(np.append(at, -1), pa.int64()), "w": pa.array(np.append(w[at], bias), pa.float64())})
+        at, w, bias = ftrl(examples) if examples else (np.zeros(0, np.int64), np.zeros(0), 0.0)
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.append(at, -1), pa.int64()), "w": pa.array(np.append(w, bias), pa.float64())})
 
     one = found.repartition(1).sortWithinPartitions("ord", F.xxhash64("x"))
     got = one.mapInArrow(fit, "i long, w double").toPandas()
@@ -114,7 +114,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
     @F.arrow_udf("double")
     def probability(column: pa.Array) -> pa.Array:
         at, w, bias = shared.value
-        table = np.zeros(1 << DIM_BITS)
+        table = np.zeros(1 << DIM_BITS, np.float32)
         table[at] = w
         total = np.full(len(column), bias)
         for first, last, row, f in features(column):
