@@ -313,25 +313,24 @@ def encode_pieces(docs: DataFrame, model: str, n_best: int = N_BEST, text: str =
     and, with keep_ids, `pieces` (ids of the best) and `others`: score and changed words of each further segmentation."""
 
     def run(column: pa.Array) -> pa.Array:
-        lattice, cols = pieces(model, n_best), [[] for _ in range(8)]
-        at = 0
+        lattice, done, at = pieces(model, n_best), [], 0
         while at < len(column):
             texts, size = [], 0
-            while at + len(texts) < len(column) and size < 1 << 19:
+            while at + len(texts) < len(column) and size < 1 << 18:
                 texts.append(column[at + len(texts)].as_py() or "")
                 size += len(texts[-1])
             at += len(texts)
+            cols = [[] for _ in made]
             for t, (ids, ranked) in zip(texts, lattice.encode(texts), strict=True):
-                row = (len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ranked[0][0], len(ranked), ranked[-1][0], lattice.decode(ids.tolist()) == t)
+                others = [{"score": s, "changes": [{"word": i, "pieces": list(x)} for i, x in changes]} for s, changes in ranked[1:]] if keep_ids else None
+                row = (len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ranked[0][0], len(ranked), ranked[-1][0], lattice.decode(ids.tolist()) == t, ids, others)
                 for c, x in zip(cols, row, strict=False):
                     c.append(x)
-                if keep_ids:
-                    cols[6].append(ids)
-                    cols[7].append([{"score": s, "changes": [{"word": i, "pieces": list(x)} for i, x in changes]} for s, changes in ranked[1:]])
-        types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.struct({"score": pa.float64(), "changes": pa.list_(pa.struct({"word": pa.int32(), "pieces": pa.list_(pa.int32())}))}))]
-        own = 8 if keep_ids else 6
-        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols[:own], types[:own], strict=True)], names[:own])
+            done.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], made))
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(done) if done else pa.array([], pa.struct(list(zip(made, types, strict=False))))
 
+    types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.struct({"score": pa.float64(), "changes": pa.list_(pa.struct({"word": pa.int32(), "pieces": pa.list_(pa.int32())}))}))]
     names = ["n_pieces", "ids_crc32", "best_score", "n_best", "last_score", "round_trip", "pieces", "others"]
     kinds = ["long", "long", "double", "long", "double", "boolean", "array<int>", "array<struct<score:double,changes:array<struct<word:int,pieces:array<int>>>>>"]
     made = names if keep_ids else names[:6]

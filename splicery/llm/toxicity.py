@@ -52,23 +52,25 @@ def features(column: pa.Array, bits: int = DIM_BITS) -> Iterator[tuple[int, int,
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
         for first, last, row, f in features(batch.column(2)):
             order = np.argsort(row, kind="stable")
             cuts = np.searchsorted(row[order], np.arange(1, last - first))
-            out += [np.unique(x).astype(np.int32) for x in np.split(f[order], cuts)]
-        yield pa.RecordBatch.from_pydict({"ord": batch.column(0), "y": batch.column(1), "x": pa.array(out, pa.list_(pa.int32()))})
+            x = [np.unique(part).astype(np.int32) for part in np.split(f[order], cuts)]
+            own = batch.slice(first, last - first)
+            yield pa.RecordBatch.from_pydict({"ord": own.column(0), "y": own.column(1), "x": pa.array(x, pa.list_(pa.int32()))})
 
 
 def ftrl(examples: list[tuple[int, np.ndarray]], bits: int = DIM_BITS, epochs: int = EPOCHS, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, min_docs: int = MIN_DOCS, positive=POSITIVE_WEIGHT) -> tuple[np.ndarray, np.ndarray, float]:
-    """(indices, weights, intercept) after `epochs` passes in the given order."""
+    """(indices, weights, intercept) after `epochs` passes in the given order; the examples lose their rare features."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     weight = lambda zs, ns: (np.sign(zs) * l1 - zs) / ((beta + np.sqrt(ns)) / alpha + l2)  # noqa: E731  where |z| > l1, else 0
     zb = nb = 0.0
     docs = np.zeros(1 << bits, np.int32)
     for _, x in examples:
         docs[x] += 1
-    examples = [(y, x[docs[x] >= min_docs]) for y, x in examples]
+    for i, (y, x) in enumerate(examples):  # one by one: what an example no longer needs is freed at once
+        examples[i] = y, x[docs[x] >= min_docs]
+    del docs
     for _ in range(epochs):
         for y, x in examples:
             zx, nx = z[x], n[x]
@@ -101,6 +103,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: st
             values, offs = x.values.to_numpy(), x.offsets.to_numpy()
             examples += [(y, values[i:j]) for y, i, j in zip(b.column(1).to_pylist(), offs[:-1], offs[1:], strict=True)]
         at, w, bias = ftrl(examples) if examples else (np.zeros(0, np.int64), np.zeros(0), 0.0)
+        examples.clear()
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_pydict({"i": pa.array(np.append(at, -1), pa.int64()), "w": pa.array(np.append(w, bias), pa.float64())})
 
     one = found.repartition(1).sortWithinPartitions("ord", F.xxhash64("x"))
