@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -34,7 +35,8 @@ from splicery.llm.words import mixed
 SPACE = "▁"
 _OWN = "\ud800"  # stands for a text's own U+2581
 N_BEST = 4
-KEPT = 200_000
+#: Words known to a task before it starts anew.
+KEPT = 60_000
 #: Words of one forward pass.
 STEP = 8_000
 #: Longer words, and words behind several spaces, take the plain forward pass.
@@ -312,23 +314,30 @@ def encode_pieces(docs: DataFrame, model: str, n_best: int = N_BEST, text: str =
     """docs with n_pieces, ids_crc32 (of the ids as little-endian uint32), best_score, n_best, last_score (of the n-th), round_trip,
     and, with keep_ids, `pieces` (ids of the best) and `others`: score and changed words of each further segmentation."""
 
-    def run(column: pa.Array) -> pa.Array:
-        lattice, done, at = pieces(model, n_best), [], 0
-        while at < len(column):
-            texts, size = [], 0
-            while at + len(texts) < len(column) and size < 1 << 18:
-                texts.append(column[at + len(texts)].as_py() or "")
-                size += len(texts[-1])
-            at += len(texts)
-            cols = [[] for _ in made]
-            for t, (ids, ranked) in zip(texts, lattice.encode(texts), strict=True):
-                others = [{"score": s, "changes": [{"word": i, "pieces": list(x)} for i, x in changes]} for s, changes in ranked[1:]] if keep_ids else None
-                row = (len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ranked[0][0], len(ranked), ranked[-1][0], lattice.decode(ids.tolist()) == t, ids, others)
-                for c, x in zip(cols, row, strict=False):
-                    c.append(x)
-            done.append(pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], made))
-        pa.default_memory_pool().release_unused()
-        return pa.concat_arrays(done) if done else pa.array([], pa.struct(list(zip(made, types, strict=False))))
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        lattice = pieces(model, n_best)
+        try:
+            for column in columns:
+                at = 0
+                while at < len(column):
+                    texts, size = [], 0
+                    while at + len(texts) < len(column) and size < 1 << 18:
+                        texts.append(column[at + len(texts)].as_py() or "")
+                        size += len(texts[-1])
+                    at += len(texts)
+                    yield encoded(lattice, texts)  # a few hundred kB of text at a time, so that results of a batch do not pile up
+        finally:  # a worker outlives its task; the words known do not
+            lattice.clear()
+            pa.default_memory_pool().release_unused()
+
+    def encoded(lattice: Pieces, texts: list[str]) -> pa.Array:
+        cols = [[] for _ in made]
+        for t, (ids, ranked) in zip(texts, lattice.encode(texts), strict=True):
+            others = [{"score": s, "changes": [{"word": i, "pieces": list(x)} for i, x in changes]} for s, changes in ranked[1:]] if keep_ids else None
+            row = (len(ids), zlib.crc32(ids.astype("<u4").tobytes()), ranked[0][0], len(ranked), ranked[-1][0], lattice.decode(ids.tolist()) == t, ids, others)
+            for c, x in zip(cols, row, strict=False):
+                c.append(x)
+        return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], made)
 
     types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.struct({"score": pa.float64(), "changes": pa.list_(pa.struct({"word": pa.int32(), "pieces": pa.list_(pa.int32())}))}))]
     names = ["n_pieces", "ids_crc32", "best_score", "n_best", "last_score", "round_trip", "pieces", "others"]
