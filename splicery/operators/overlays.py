@@ -37,3 +37,10 @@ def cues_of(turns: DataFrame, pace: float) -> DataFrame:
     length = F.char_length(F.coalesce("text", F.lit("")))
     start = F.coalesce(F.sum(length).over(before), F.lit(0)) / F.lit(pace)
     return turns.select("conv_id", "turn", start.alias("start_sec"), (start + length / F.lit(pace)).alias("end_sec"))
+
+
+def frames_of(intervals: DataFrame, fps: int) -> DataFrame:
+    """A row for each frame of each interval(start_sec, end_sec, …), closed at both ends; the clock runs as far as the intervals do."""
+    reached = F.sequence(F.floor(F.col("start_sec") * fps), F.ceil(F.col("end_sec") * fps))
+    at = F.col("frame") / F.lit(float(fps))
+    return intervals.filter("start_sec <= end_sec").withColumn("frame", F.explode(reached)).filter((at >= F.col("start_sec")) & (at <= F.col("end_sec")))

@@ -309,8 +309,7 @@ def pip_shift(spark, sf_dir):
 )
 def subtitle_cues(spark, sf_dir):
     cues = overlays.cues_of(tables.table(spark, sf_dir, "conversations"), 500.0)
-    clock = spark.range(240).select(F.col("id").alias("frame"), (F.col("id") / 24.0).alias("t"))
-    return overlays.interval_join(clock, cues).select("conv_id", "turn", "frame")
+    return overlays.frames_of(cues, FPS).select("conv_id", "turn", "frame")
 
 
 # -- lookups, literals, rules -----------------------------------------------------------------

@@ -111,6 +111,19 @@ def test_interval_join_is_closed_and_skips_empty_intervals(spark):
     assert sorted((r.o, r.k) for r in overlays.interval_join(s, o).collect()) == [(1, 1), (1, 2), (1, 3), (3, 0), (3, 1)]
 
 
+def test_cues_of_a_long_conversation_keep_all_frames(spark, tmp_path):
+    turns = [(1, 1, 4990), (1, 2, 125), (1, 3, 0), (1, 4, 9000), (2, 1, None), (2, 2, 10)]
+    rows = [(c, t, "user", None if n is None else "x" * n) for c, t, n in turns]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    want, read = [], {}
+    for c, t, n in turns:
+        first = read.get(c, 0)
+        last = read[c] = first + (n or 0)
+        want += [(c, t, f) for f in range(1000) if first * 24 <= f * 500 <= last * 24]
+    got = [tuple(r) for r in timeline.subtitle_cues(spark, str(tmp_path)).collect()]
+    assert sorted(got) == want and max(f for _, _, f in want) > 240
+
+
 def test_tempo_steps_multiply_to_the_factor(spark):
     rows = spark.createDataFrame([(x,) for x in (0.01, 0.1, 0.25, 0.49, 0.5, 1.0, 3.0, 100.0, 101.0, 12345.0)], "x double")
     for r in rows.select("x", signal.tempo_steps(F.col("x")).alias("steps")).collect():
