@@ -29,11 +29,15 @@ from pyspark.sql import functions as F
 from splicery.llm.common import carried
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe object svg math select".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strong sub sup time tt u var wbr br".split())
+RAW = frozenset("script style noscript template textarea iframe svg annotation annotation-xml select".split())
+MATH = frozenset("math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby s samp small span strong sub sup time tt u var wbr br object".split()) | MATH
+#: Elements that a slash at the end of their tag closes.
+CLOSABLE = MATH | {"svg", "annotation", "annotation-xml", "object"}
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SECTION = frozenset("article main section aside nav header footer".split())
-NEVER = frozenset("nav footer aside form button head script style noscript template textarea iframe object svg math select option menu dialog".split())
+ROOTS = frozenset("article main body html".split())
+NEVER = frozenset("nav footer aside form button head script style noscript template textarea iframe svg select option menu dialog".split())
 #: Words of class, id and role that mark what is not the article; and what is.
 NOISE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookie\w*|consent|disqus|footer|header|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|repl(?:y|ies)|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[-_\s])", re.IGNORECASE)
 SIGNAL = re.compile(r"(?:^|[-_\s])(?:article|body|content|entry|main|post|story|text)(?:$|[-_\s])", re.IGNORECASE)
@@ -46,6 +50,7 @@ NEXT, SAME_PARENT, SAME_SECTION = 0.3, 0.3, 0.5
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.DOTALL)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/$")
 _WHITE = re.compile(r"\s+")
 
 
@@ -53,6 +58,7 @@ class Element(NamedTuple):
     tag: str
     number: int
     bad: bool
+    noise: bool
     good: bool
 
 
@@ -129,6 +135,8 @@ def blocks_of(page: str) -> list[Block]:
                     break
         if tag in ("li", "dd", "dt", "option", "tr", "td", "th") and stack and stack[-1].tag == tag:
             close(tag)
+        if tag in CLOSABLE and m[4].endswith("/") and not _UNQUOTED.search(m[4]):
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else len(page)
@@ -137,18 +145,38 @@ def blocks_of(page: str) -> list[Block]:
             continue
         number += 1
         names = " ".join(x for g in _NAMES.findall(m[4]) for x in g if x)
-        bad = bool(NOISE.search(names)) or bool(_HIDDEN.search(m[4])) or tag in NEVER
-        stack.append(Element(tag, number, bad, tag in ("article", "main") or bool(SIGNAL.search(names))))
+        bad = bool(_HIDDEN.search(m[4])) or tag in NEVER
+        stack.append(Element(tag, number, bad, bool(NOISE.search(names)), tag in ("article", "main") or bool(SIGNAL.search(names))))
         links += tag == "a"
     flush()
     return out
 
 
-def log_odds(block: Block) -> float:
-    """Of the block being content; the hard terminals are far out."""
+def layout_of(blocks: list[Block]) -> frozenset[int]:
+    """Numbers of the elements around the page's article whose noise names speak of its surroundings ("with-sidebar").
+
+    The article is the one (on a page without any, the main element) inside the fewest elements with such names; several are
+    equal. Comments or related articles further in keep their marks.
+    """
+    for tag in ("article", "main"):
+        around: dict[int, frozenset[int]] = {}
+        for b in blocks:
+            for i, e in enumerate(b.path):
+                if e.bad and e.tag not in ROOTS:
+                    break
+                if e.tag == tag and e.number not in around:
+                    around[e.number] = frozenset(x.number for x in b.path[:i] if x.noise and x.tag not in ROOTS)
+        if around:
+            fewest = min(map(len, around.values()))
+            return frozenset().union(*(x for x in around.values() if len(x) == fewest))
+    return frozenset()
+
+
+def log_odds(block: Block, layout: frozenset[int] = frozenset()) -> float:
+    """Of the block being content; the hard terminals are far out. Noise names of the elements in `layout` do not count."""
     tags = {e.tag for e in block.path}
     # What is marked as noise inside an article (shares, comments) is noise; the article itself may have any name.
-    bad = any(e.bad and e.tag not in ("article", "main", "body", "html") for e in block.path)
+    bad = any((e.bad or e.noise and e.number not in layout) and e.tag not in ROOTS for e in block.path)
     header = any(e.tag == "header" for e in block.path) and "article" not in tags
     if any(e.tag in NEVER for e in block.path) or header:
         return -HARD
@@ -239,7 +267,8 @@ def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     if not blocks:
         return ""
-    keep = min_cut([log_odds(b) for b in blocks], neighbours(blocks))
+    layout = layout_of(blocks)
+    keep = min_cut([log_odds(b, layout) for b in blocks], neighbours(blocks))
     return " ".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 

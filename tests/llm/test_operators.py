@@ -272,6 +272,30 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <div class="share-bar">Share</div><ul><li>one item of a list.</li><li>two items.</li></ul></article><div id="comments"><p>I liked this article a lot, thank you all.</p></div><form><p>Your mail here, please.</p></form><footer>&copy; me</footer></body></html>"""
 
 
+FIRST = "This is the first long sentence of the article, which has many words in it."
+SECOND = "This is the second long sentence of the article, with words too."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><svg width='1'/><p>{}</p><object data='a' /><p>{}</p></article>", f"{FIRST} {SECOND}"),
+        ("<article><p>{}</p><p><svg class=a/><title>no text</title></svg>{}</p></article>", f"{FIRST} {SECOND}"),
+        ("<article><p>{} So <math><mi>x</mi><mo>=</mo><mn>1</mn><mspace/><annotation>x</annotation></math> and <math/>on.</p><p>{}</p></article>", f"{FIRST} So x=1 and on. {SECOND}"),
+        ("<article><p>{} See <object data='a.png'>the figure</object>.</p><p>{}</p></article>", f"{FIRST} See the figure. {SECOND}"),
+        ("<body><div class='layout with-sidebar'><article><p>{}</p><p>{}</p></article></div></body>", f"{FIRST} {SECOND}"),
+        ("<main><div class='with-sidebar'><article><p>{}</p></article><div class='comments'><article><p>{}</p></article></div></div></main>", FIRST),
+        ("<main><article><p>{}</p></article><section class='related'><article><p>{}</p></article></section></main>", FIRST),
+        ("<div class='with-sidebar'><main><p>{}</p><div class='share'><p>{}</p></div></main></div>", FIRST),
+        ("<div class='with-sidebar' hidden><article><p>{}</p><p>{}</p></article></div>", ""),
+    ],
+)
+def test_html_extract_keeps_the_article_whole(page, want):
+    from splicery.llm.html_extract import main_text
+
+    assert main_text(page.format(FIRST, SECOND)) == want
+
+
 def test_html_extract(spark):
     from splicery.llm.html_extract import extract_main_text, main_text, min_cut
 
