@@ -5,8 +5,8 @@ next stage's docs. Every stage but the last returns the columns of documents. No
 (a trained model) or the last (a search), so ORACLE_SQL is None; tests hold run() against a plain version.
 
 Nulls, empty texts, repeated rows and empty tables are treated as each operator states. n_chars follows the text
-where a stage changes it. The mixing stage repeats documents whose source's target exceeds its size, and cuts the
-one document in which a source's target ends.
+where a stage changes it. The mixing stage repeats documents whose source's target exceeds its size; the use in which a
+source's target ends is taken whole or left out, whichever is nearer to the target.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
-    mixed = mixed_stream(mix(docs), COLUMNS)
+    mixed = mixed_stream(mix(docs), COLUMNS, whole=True)
     return mixed.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 

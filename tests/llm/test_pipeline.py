@@ -41,6 +41,18 @@ def test_stages(spark, tmp_path):
     assert sorted(pairs(cp.run(spark, SMALL)), key=repr) == sorted(pairs(seen["pieces"]), key=repr)
 
 
+def test_mixing_takes_documents_whole(spark):
+    text = lambda n: "\n".join(f"w{i}" for i in range(n))
+    rows = [(i, text(40 + i), "en", "abc"[i % 3], 0) for i in range(60)]
+    out = cp.mix_sources(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), SMALL).collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert out and all(r.text == texts[r.doc_id] and r.n_chars == len(r.text) for r in out)
+    size = {s: sum(40 + i for i in range(60) if "abc"[i % 3] == s) for s in "abc"}
+    for s, weight in zip("abc", (5, 2, 1), strict=True):
+        words = sum(len(r.text.split()) for r in out if r.source == s)
+        assert abs(words - sum(size.values()) * weight / 8) <= 50
+
+
 def test_an_empty_table_goes_through(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{SMALL}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
