@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from splicery.functions.times import crop_filter, number_text
 from splicery.functions.values import BOX_PADDING, UNKNOWN_LENGTH
+from splicery.operators.signal import tempo_steps
 
 
 def trim_text(name: str, start: Column, end: Column) -> Column:
@@ -76,13 +77,21 @@ def effect_steps(width: Column, height: Column) -> list[tuple[str, Column]]:
     ]
 
 
+def tempo_texts(speed: Column) -> Column:
+    """The atempo filters of a speed, in order: a chain where one filter's range does not hold it."""
+    steps = F.when(speed > 0, tempo_steps(speed)).otherwise(F.array(speed))
+    # A full step up is written as 100.0, what is left the shortest way.
+    text = lambda x, i: F.when(i < F.size(steps) - 1, x.cast("string")).otherwise(number_text(x))
+    return F.transform(steps, lambda x, i: F.concat(F.lit("atempo="), text(x, i)))
+
+
 def sound_steps() -> list[tuple[str, Column]]:
-    """(prefix, expression) of a clip's sound, in their fixed order."""
+    """(prefix, expression) of a clip's sound, in their fixed order; an array is a filter for each entry."""
     text = lambda name, c: F.concat(F.lit(name), number_text(F.col(c)))
     start = F.greatest(F.col("estimate_sec") - F.col("fade_out"), F.lit(0.0))
     return [
         ("vol", text("volume=", "volume")),
-        ("at", text("atempo=", "speed")),
+        ("at", tempo_texts(F.col("speed"))),
         ("afi", F.concat(F.lit("afade=t=in:st=0:d="), number_text(F.col("fade_in")))),
         ("afo", F.concat(F.lit("afade=t=out:st="), number_text(start), F.lit(":d="), number_text(F.col("fade_out")))),
         ("ar", F.when(F.col("reverse"), F.lit("areverse"))),
@@ -98,13 +107,16 @@ def filter_rows(clips: DataFrame, width: Column, height: Column) -> DataFrame:
     """
 
     def chain(kind: str, rank: int, steps: list[tuple[str, Column]], head: Column, stream: str) -> Column:
-        rows = [F.struct(F.lit(rank + i).alias("step"), F.lit(kind).alias("kind"), F.lit(p).alias("prefix"), e.alias("expr"), F.concat(F.col("input_no").cast("string"), F.lit(stream)).alias("source")) for i, (p, e) in enumerate([(kind, head), *steps])]
-        return F.array(*rows)
+        def rows(i: int, prefix: str, exprs: Column) -> Column:
+            source = F.concat(F.col("input_no").cast("string"), F.lit(stream)).alias("source")
+            return F.transform(exprs, lambda e, part: F.struct(F.lit(rank + i).alias("step"), part.alias("part"), F.lit(kind).alias("kind"), F.lit(prefix).alias("prefix"), e.alias("expr"), source))
+
+        return F.concat(*[rows(i, p, e if p == "at" else F.array(e)) for i, (p, e) in enumerate([(kind, head), *steps])])
 
     video = chain("tv", 0, effect_steps(width, height), trim_text("trim", F.col("from_sec"), F.col("to_sec")), ":v")
     sound = chain("ta", 100, sound_steps(), trim_text("atrim", F.col("from_sec"), F.col("to_sec")), ":a")
     steps = clips.select("program_id", F.col("item_no").alias("clip_no"), F.explode(F.filter(F.concat(video, sound), lambda s: s["expr"].isNotNull())).alias("s"))
-    whole = Window.partitionBy("program_id").orderBy("clip_no", "s.step")
+    whole = Window.partitionBy("program_id").orderBy("clip_no", "s.step", "s.part")
     numbered = steps.withColumn("seq", (F.row_number().over(whole) - 1).cast("bigint"))
     labelled = numbered.withColumn("output", F.concat("s.prefix", F.col("seq").cast("string")))
     previous = F.lag("output").over(Window.partitionBy("program_id", "clip_no", "s.kind").orderBy("seq"))

@@ -80,6 +80,23 @@ def test_graph_of_a_minimal_program(spark):
     )
 
 
+def test_speeds_outside_one_filter_are_chained(spark):
+    speeds = [0.25, 0.1, 250.0, 2.0, None, 100.0, 0.5, 0.0, 10000.0]
+    none = "brightness contrast saturation rotate blur sharpen vignette grain opacity fade_in fade_out estimate_sec zoom pan_x pan_y duration_sec".split()
+    rows = spark.createDataFrame(list(enumerate(speeds)), "item_no int, speed double").select(
+        F.lit(1).alias("program_id"), "item_no", "speed", F.lit(0).alias("input_no"), F.lit(0.0).alias("from_sec"), F.lit(10.0).alias("to_sec"), F.lit(30).alias("fps"), F.lit(0.5).alias("volume"), F.lit(True).alias("reverse"),
+        *[F.lit(None).cast("double").alias(c) for c in none], *[F.lit(None).cast("string").alias(c) for c in ("crop", "flip", "chromakey")], *[F.lit(None).cast("boolean").alias(c) for c in ("stabilize", "normalize")],
+    )
+    got = filters.filter_rows(rows, F.lit(1280), F.lit(720)).orderBy("seq").collect()
+    tempo = [[r.expr.removeprefix("atempo=") for r in got if r.clip_no == i and r.expr.startswith("atempo")] for i in range(len(speeds))]
+    assert tempo == [["0.5", "0.5"], ["0.5", "0.5", "0.5", "0.8"], ["100.0", "2.5"], ["2"], [], ["100"], ["0.5"], ["0"], ["100.0", "100"]]
+    assert [r.seq for r in got] == list(range(len(got))) and all(r.output.lstrip("abcdefghijklmnopqrstuvwxyz") == str(r.seq) for r in got)
+    first = [(r.input, r.expr, r.output) for r in got if r.clip_no == 0 and r.seq >= 4]
+    assert first == [
+        ("0:a", "atrim=start=0:end=10,asetpts=PTS-STARTPTS", "ta4"), ("ta4", "volume=0.5", "vol5"), ("vol5", "atempo=0.5", "at6"), ("at6", "atempo=0.5", "at7"), ("at7", "areverse", "ar8"),
+    ]
+
+
 def test_output_args(spark):
     out = spark.createDataFrame([("x.mp4", 30, 1280, 720, "mp4", "h264", "high")], "path string, fps int, width int, height int, format string, codec string, quality string")
     args = filters.output_args(out, values.encoder_table(spark), values.quality_table(spark)).first().args
