@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from splicery.sources.shared import shared_dir, stored  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WHITE = " \t\n\x0b\f\r"  # [\x20\x09-\x0D]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh path under spark.checkpoint.dir; a local folder only where the cluster names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="splicery-")
-    return f"{base.rstrip('/')}/splicery-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str = "t", where: str | None = None) -> DataFrame:
-    """The rows, written to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = f"{where or shared_dir(df.sparkSession)}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that shared_dir() named, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splicery.functions.values import UNKNOWN_LENGTH, violation
+from splicery.sources.shared import shared_dir, stored
 
 
 def substitute(attrs: DataFrame, variables: DataFrame) -> DataFrame:
@@ -67,17 +68,23 @@ def input_numbers(uses: DataFrame) -> DataFrame:
     return first.select("program_id", "asset", (F.row_number().over(Window.partitionBy("program_id").orderBy("first", "asset")) - 1).cast("bigint").alias("input_no"))
 
 
-def merged_fragments(fragments: DataFrame, edges: DataFrame, roots: DataFrame, depth: int = 64) -> DataFrame:
-    """(root, fragment) that a root's includes reach; a fragment that is reached again is skipped."""
+def merged_fragments(fragments: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, fragment) that a root's includes reach, however long the chain; a fragment that is reached again is skipped.
+
+    Each round's new rows are a written table, and all rows so far are written together every 16 rounds: plans stay short.
+    """
+    where, turn = shared_dir(edges.sparkSession), 0
     seen = roots.select("root", F.col("root").alias("fragment")).distinct()
     front = seen
-    for _ in range(depth):
+    while True:
         front = front.join(edges.select(F.col("source").alias("fragment"), "target"), "fragment").select("root", F.col("target").alias("fragment")).distinct()
         front = front.join(seen, ["root", "fragment"], "left_anti").join(fragments.select("fragment"), "fragment", "left_semi").select("root", "fragment")
+        front, turn = stored(front, f"front{turn}", where), turn + 1
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+        if turn % 16 == 0:
+            seen = stored(seen, f"seen{turn}", where)
 
 
 def outputs(programs: DataFrame, wanted: DataFrame, default_path: str = "output.mp4") -> DataFrame:

@@ -97,6 +97,16 @@ def test_speeds_outside_one_filter_are_chained(spark):
     ]
 
 
+def test_long_include_chains_are_followed_to_their_end(spark):
+    n = 70
+    chain = spark.range(n).select(F.concat(F.lit("f"), "id").alias("source"), F.concat(F.lit("f"), F.col("id") + 1).alias("target"))
+    back = spark.createDataFrame([(f"f{n}", "f0"), ("f5", "lost")], "source string, target string")
+    fragments = spark.range(n + 1).select(F.concat(F.lit("f"), "id").alias("fragment"))
+    roots = spark.createDataFrame([("f0",), ("f60",)], "root string")
+    got = [tuple(r) for r in resolve.merged_fragments(fragments, chain.unionByName(back), roots).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(r, f"f{i}") for r in ("f0", "f60") for i in range(n + 1)}
+
+
 def test_output_args(spark):
     out = spark.createDataFrame([("x.mp4", 30, 1280, 720, "mp4", "h264", "high")], "path string, fps int, width int, height int, format string, codec string, quality string")
     args = filters.output_args(out, values.encoder_table(spark), values.quality_table(spark)).first().args
