@@ -54,9 +54,11 @@ def generated(spark, start: float, length: float, fps: int) -> DataFrame:
 
 
 def gap_filled(frames: DataFrame, keys: DataFrame, first: int, last: int) -> DataFrame:
-    """Every frame from first to last - 1 for each row of keys; missing frames are 0."""
+    """Every frame for each row of keys, from first to last - 1 and on to the last one of `frames`; missing frames are 0."""
     names = keys.columns
-    grid = keys.withColumn("frame", F.explode(F.sequence(F.lit(first).cast("bigint"), F.lit(last - 1).cast("bigint"))))
+    # One row: the end is the same for all keys.
+    end = frames.agg(F.greatest(F.max("frame"), F.lit(last - 1)).alias("_end"))
+    grid = keys.crossJoin(F.broadcast(end)).withColumn("frame", F.explode(F.sequence(F.lit(first).cast("bigint"), F.col("_end").cast("bigint"))))
     return grid.join(frames, [*names, "frame"], "left").select(*names, "frame", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 

@@ -107,6 +107,15 @@ def test_long_include_chains_are_followed_to_their_end(spark):
     assert len(got) == len(set(got)) and set(got) == {(r, f"f{i}") for r in ("f0", "f60") for i in range(n + 1)}
 
 
+def test_gaps_are_filled_to_the_last_frame(spark, tmp_path):
+    rows = [(1, 1, "a", "2024-01-01 00:00:00", 2.0), (2, 1, "b", "2024-02-01 00:00:00", 4.0)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.asset, r.frame): r.v for r in timeline.gap_fill(spark, str(tmp_path)).collect()}
+    assert got == {(a, f): 0.0 for a in "ab" for f in range(745)} | {("a", 0): 2.0, ("b", 744): 4.0}
+    assert signal.gap_filled(tables.frames(tables.signal(spark, SMALL), 24, "asset").limit(0), spark.createDataFrame([("a",)], "asset string"), 0, 720).count() == 720
+
+
 def test_output_args(spark):
     out = spark.createDataFrame([("x.mp4", 30, 1280, 720, "mp4", "h264", "high")], "path string, fps int, width int, height int, format string, codec string, quality string")
     args = filters.output_args(out, values.encoder_table(spark), values.quality_table(spark)).first().args
