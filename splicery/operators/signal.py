@@ -113,10 +113,14 @@ def normalised(samples: DataFrame) -> DataFrame:
     return samples.join(F.broadcast(peaks), "asset").withColumn("v", F.try_divide("v", "peak")).drop("peak")
 
 
-def graded(frames: DataFrame, brightness: float = 0.0, contrast: float = 1.0) -> DataFrame:
-    """(v / largest - 0.5) * contrast + 0.5 + brightness, for each asset."""
+def graded(frames: DataFrame, brightness: float = 0.0, contrast: float = 1.0, saturation: float = 1.0) -> DataFrame:
+    """(v / largest - 0.5) * contrast + 0.5 + brightness, for each asset; then mean + (v - mean) * saturation, for each frame."""
     peaks = frames.groupBy("asset").agg(F.max("v").alias("peak"))
-    return frames.join(F.broadcast(peaks), "asset").withColumn("v", (F.col("v") / F.col("peak") - 0.5) * contrast + 0.5 + brightness).drop("peak")
+    out = frames.join(F.broadcast(peaks), "asset").withColumn("v", (F.col("v") / F.col("peak") - 0.5) * contrast + 0.5 + brightness).drop("peak")
+    if saturation == 1:
+        return out
+    means = mixed_sound(out).select("frame", F.col("v").alias("mean"))
+    return out.join(means, "frame").withColumn("v", F.col("mean") + (F.col("v") - F.col("mean")) * saturation).select(*out.columns)
 
 
 def blur_radius(strength: Column) -> Column:

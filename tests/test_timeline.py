@@ -116,6 +116,19 @@ def test_gaps_are_filled_to_the_last_frame(spark, tmp_path):
     assert signal.gap_filled(tables.frames(tables.signal(spark, SMALL), 24, "asset").limit(0), spark.createDataFrame([("a",)], "asset string"), 0, 720).count() == 720
 
 
+def test_saturation_spreads_a_frame_around_its_mean(spark):
+    rows = spark.createDataFrame([("a", 0, 4.0), ("a", 1, 2.0), ("b", 0, 1.0), ("b", 1, 2.0), ("c", 1, 5.0)], "asset string, frame long, v double")
+    got = {(r.asset, r.frame): r.v for r in signal.graded(rows, 0.1, 0.8, 1.5).collect()}
+    eq = {k: (v - 0.5) * 0.8 + 0.6 for k, v in {("a", 0): 1.0, ("a", 1): 0.5, ("b", 0): 0.5, ("b", 1): 1.0, ("c", 1): 1.0}.items()}
+    for (asset, frame), v in eq.items():
+        own = [x for (_, f), x in eq.items() if f == frame]
+        mean = sum(own) / len(own)
+        assert got[asset, frame] == pytest.approx(mean + (v - mean) * 1.5)
+    assert len(got) == len(eq)
+    grey = signal.graded(rows, saturation=0.0).filter("frame = 0").collect()
+    assert grey[0].v == grey[1].v and len(grey) == 2
+
+
 def test_output_args(spark):
     out = spark.createDataFrame([("x.mp4", 30, 1280, 720, "mp4", "h264", "high")], "path string, fps int, width int, height int, format string, codec string, quality string")
     args = filters.output_args(out, values.encoder_table(spark), values.quality_table(spark)).first().args
