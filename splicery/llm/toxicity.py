@@ -1,14 +1,16 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are the distinct hashed words, word pairs, and pairs with one or two words left out.
-Training takes a bounded sample of labelled rows (`max_rows`, chosen by hash of the key): their feature
-indices are extracted in parallel, and one task of bounded size runs the sequential FTRL updates with
-per-coordinate rates over the features that at least `min_docs` of those rows have. L1 leaves a few thousand weights, which are broadcast; every text is then scored
-whole, in Arrow batches, without a shuffle.
+Training takes a bounded sample of labelled keys (`max_rows`, chosen by hash of the key), one text for each: their
+feature indices are extracted in parallel, and one task runs the sequential FTRL updates with per-coordinate rates over
+the features that at least `min_docs` of those rows have. The task's memory is bounded: of a row with more than
+MAX_FEATURES features those with the smallest hashes are learnt from, and rows beyond MAX_CELLS features in all, in hash
+order of their keys, are left out of the sample. L1 leaves a few thousand weights, which are broadcast; every text is then
+scored whole, in Arrow batches, without a shuffle.
 
 Defined results: null, empty and wordless texts score as the intercept alone. Label rows with a null
-key or label are skipped; of several for one key the largest label counts. Without any labelled row
-every score is 0.5. Repeated rows are scored alike. An empty table gives no rows. Extra columns pass
+key or label are skipped; of several for one key the largest label counts, and of several texts for one key
+the one with the smallest hash is learnt from. Without any labelled row every score is 0.5. Repeated rows are scored alike. An empty table gives no rows. Extra columns pass
 through; an input column named like an output column is replaced.
 """
 
@@ -26,11 +28,11 @@ from splicery.llm.words import ALNUM, mixed, words
 
 DIM_BITS = 22
 MAX_ROWS = 12_000
+MAX_FEATURES, MAX_CELLS = 1 << 15, 1 << 25
 MIN_DOCS = 4
 EPOCHS = 10
-#: The short list came from early trials that were judged on held-out rows of the small tables; the choice from it by training on rows
-#: with remainder 0 and judging on rows with remainder 2. No label of a held-out row is learnt from.
-ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 1.0
+#: Chosen from a grid by training on rows with remainder 0 and judging on rows with remainder 2; remainder 1 took no part.
+ALPHA, BETA, L1, L2 = 4.0, 1.0, 10.0, 0.0
 POSITIVE_WEIGHT = 4.0
 THRESHOLD = 0.7
 
@@ -50,12 +52,17 @@ def features(column: pa.Array, bits: int = DIM_BITS) -> Iterator[tuple[int, int,
         yield first, last, np.concatenate(rows), np.concatenate(found).astype(np.int64)
 
 
+def _fewest(x: np.ndarray) -> np.ndarray:
+    """The features of a training row, those with the smallest hashes if there are more than MAX_FEATURES."""
+    return x if len(x) <= MAX_FEATURES else np.sort(x[np.argpartition(mixed(x.astype(np.uint64)), MAX_FEATURES)[:MAX_FEATURES]])
+
+
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, last, row, f in features(batch.column(2)):
             order = np.argsort(row, kind="stable")
             cuts = np.searchsorted(row[order], np.arange(1, last - first))
-            x = [np.unique(part).astype(np.int32) for part in np.split(f[order], cuts)]
+            x = [_fewest(np.unique(part)).astype(np.int32) for part in np.split(f[order], cuts)]
             own = batch.slice(first, last - first)
             yield pa.RecordBatch.from_pydict({"ord": own.column(0), "y": own.column(1), "x": pa.array(x, pa.list_(pa.int32()))})
 
@@ -92,16 +99,19 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, text: st
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     share = int(1_000_000 * min(1.0, max_rows / max(1, known.count())))
     some = known.withColumn("ord", F.xxhash64(F.lit(5), key)).filter(F.pmod("ord", F.lit(1_000_000)) < share)
-    # At most about max_rows rows of 24 bytes.
-    rows = docs.select(key, text).join(F.broadcast(some), key).select("ord", "y", text)
+    # At most about max_rows rows of 24 bytes. Repeats of a key are cut before they are counted as rows.
+    rows = docs.select(key, text).join(F.broadcast(some), key).groupBy("ord", "y").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
     found = rows.mapInArrow(_examples, "ord long, y int, x array<int>")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
+        examples, cells = [], 0
         for b in batches:
             x = b.column(2)
             values, offs = x.values.to_numpy(), x.offsets.to_numpy()
-            examples += [(y, values[i:j]) for y, i, j in zip(b.column(1).to_pylist(), offs[:-1], offs[1:], strict=True)]
+            for y, i, j in zip(b.column(1).to_pylist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                cells += j - i
+                if cells <= MAX_CELLS:
+                    examples.append((y, values[i:j].copy()))
         at, w, bias = ftrl(examples) if examples else (np.zeros(0, np.int64), np.zeros(0), 0.0)
         examples.clear()
         pa.default_memory_pool().release_unused()
@@ -118,16 +128,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
-    def probability(column: pa.Array) -> pa.Array:
+    def probability(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         at, w, bias = shared.value
         table = np.zeros(1 << DIM_BITS, np.float32)
         table[at] = w
-        total = np.full(len(column), bias)
-        for first, last, row, f in features(column):
-            hit = np.flatnonzero(table[f])
-            pair = np.unique((row[hit].astype(np.int64) << DIM_BITS) | f[hit])
-            total[first:last] += np.bincount(pair >> DIM_BITS, weights=table[pair & ((1 << DIM_BITS) - 1)], minlength=last - first)
-        return pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+        for column in columns:
+            total = np.full(len(column), bias)
+            for first, last, row, f in features(column):
+                hit = np.flatnonzero(table[f])
+                pair = np.unique((row[hit].astype(np.int64) << DIM_BITS) | f[hit])
+                total[first:last] += np.bincount(pair >> DIM_BITS, weights=table[pair & ((1 << DIM_BITS) - 1)], minlength=last - first)
+            yield pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
     return docs.select(*carried(docs, "score"), probability(F.col(text)).alias("score"))
 

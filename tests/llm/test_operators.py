@@ -265,6 +265,59 @@ def test_toxicity_learns_and_ignores_held_out_labels(spark):
     assert toxicity(table(spark, []), known).count() == 0
 
 
+def plain_ftrl(examples, epochs, alpha, beta, l1, l2, positive):
+    """FTRL-proximal over dicts, one coordinate at a time."""
+    z, n = {}, {}
+
+    def weight(i):
+        zi = z.get(i, 0.0)
+        shrunk = 0.0 if i != "bias" and abs(zi) <= l1 else zi - (0.0 if i == "bias" else (1 if zi > 0 else -1) * l1)
+        return -shrunk / ((beta + n.get(i, 0.0) ** 0.5) / alpha + l2)
+
+    for _ in range(epochs):
+        for y, x in examples:
+            w = {i: weight(i) for i in [*x, "bias"]}
+            g = (1 / (1 + np.exp(-sum(w.values()))) - y) * (positive if y else 1.0)
+            for i, wi in w.items():
+                sigma = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / alpha
+                z[i] = z.get(i, 0.0) + g - sigma * wi
+                n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}
+
+
+def test_ftrl_equals_a_plain_version():
+    from splicery.llm.toxicity import ftrl
+
+    rng = random.Random(12)
+    rows = []
+    for _ in range(200):
+        y = int(rng.random() < 0.3)
+        rows.append((y, sorted({*(rng.randint(0, 60) for _ in range(8)), *([61 + rng.randint(0, 2)] if y else [])})))
+    for l1, l2 in ((1.0, 1.0), (3.0, 0.0)):
+        at, w, bias = ftrl([(y, np.array(x)) for y, x in rows], bits=8, epochs=3, alpha=0.5, beta=1.0, l1=l1, l2=l2, min_docs=0, positive=2.0)
+        want = plain_ftrl(rows, 3, 0.5, 1.0, l1, l2, 2.0)
+        assert bias == pytest.approx(want.pop("bias"))
+        got = dict(zip(at.tolist(), w.tolist(), strict=True))
+        assert got == pytest.approx({i: x for i, x in want.items() if x}) and 0 < len(got) < 64
+
+
+def test_toxicity_learns_from_one_text_a_key_and_bounds_its_task(spark):
+    from splicery.llm import toxicity as t
+
+    labels = table(spark, [(1, 1), (2, 0)], "doc_id long, toxic int")
+    docs = table(spark, [(1, "vile words here")] * 400 + [(2, "kind words")] * 100 + [(2, "other words")])
+    known = labels.groupBy("doc_id").agg(F.max("toxic").alias("y")).withColumn("ord", F.xxhash64(F.lit(5), "doc_id"))
+    rows = docs.join(known, "doc_id").groupBy("ord", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    seen = rows.mapInArrow(t._examples, "ord long, y int, x array<int>").collect()
+    assert len(seen) == 2
+    x = np.arange(0, 300_000, 3)
+    few = t._fewest(x)
+    assert len(few) == t.MAX_FEATURES and set(few) <= set(x) and (np.diff(few) > 0).all() and (t._fewest(x[:10]) == x[:10]).all()
+    one = t.train(docs, labels)
+    same = t.train(docs.dropDuplicates(), labels)
+    assert (one[0] == same[0]).all() and one[1] == pytest.approx(same[1]) and one[2] == pytest.approx(same[2])
+
+
 # -- pages ------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>More</a></ul></nav>
