@@ -18,8 +18,12 @@ from it are confirmed on full sets as well. Nothing is capped.
 
 Components come from alternating large-star and small-star rounds; each round is a written table.
 
+The graph's nodes are (id, text hash) of one row for each different set, so that rows which repeat a doc_id with
+other texts keep the links of each text; the sets of one doc_id are then linked with each other.
+
 Defined results: null, empty and wordless texts have an empty set and link with nothing. Rows that
-repeat a doc_id are one node. A row with a null doc_id is never linked: component_id null, kept true.
+repeat a doc_id have n_shingles of their own and one component, which all their texts' links extend; rows that agree in
+their text, too, are alike. A row with a null doc_id is never linked: component_id null, kept true.
 An empty table gives no rows. Only the key and text columns are read, under names of this module.
 """
 
@@ -94,6 +98,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(
             {
                 "id": batch.column(0),
+                "th": batch.column(2),
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "s1": pa.array([int(mixed(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                 "s2": pa.array([int(mixed(s ^ _SALT[7]).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
@@ -105,7 +110,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [s.view(np.int64) for s in shingle_sets(batch.column(1))]
-        ids = batch.column(0)
+        ids = pa.StructArray.from_arrays([batch.column(0), batch.column(2)], ["i", "h"])
         # Few rows at a time: a set is larger than its text.
         for i in range(0, len(sets), 512):
             yield pa.RecordBatch.from_pydict({"id": ids.slice(i, 512), "set": pa.array(sets[i : i + 512], pa.list_(pa.int64()))})
@@ -131,14 +136,27 @@ def components(links: DataFrame, where: str) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
         seen, k = total, k + 1
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written before they are joined: a plain shuffle on either side is one that AQE can split for a node of very many links.
+        least = stored(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"least{k}", where)
         large = around.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, f"large{k}", where)
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), f"lower{k}", where)
         small = large.join(least, "u")
         joined = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = stored(joined.distinct(), f"edges{k}", where)
 
 
+def _same_ids(sketched: DataFrame, classes: DataFrame, where: str) -> DataFrame:
+    """Links (a, b) between the nodes of the different sets that one doc_id has."""
+    own = sketched.filter("n > 0 and id is not null").select("id", "s1", "s2", "n")
+    whole = F.struct("s1", "s2", "n")
+    several = own.groupBy("id").agg(F.min(whole).alias("a"), F.max(whole).alias("b")).filter("a <> b").select("id")
+    repeated = own.join(stored(several, "several_ids", where), "id", "left_semi").distinct()
+    nodes = stored(repeated.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("id", "rep"), "id_nodes", where)
+    hubs = stored(nodes.groupBy("id").agg(F.min("rep").alias("a")), "id_hubs", where)
+    return nodes.join(hubs, "id").select("a", F.col("rep").alias("b")).filter("a <> b")
+
+
 def _unsettled(shared: DataFrame, labels: DataFrame, where: str) -> DataFrame:
     """(bucket, id, comp) of the members of buckets that hold more than one component."""
     labelled = shared.select("bucket", F.col("rep").alias("id")).join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("comp"))
@@ -165,13 +183,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     spark = docs.sparkSession
     where = shared_dir(spark)
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    sketched = stored(rows.mapInArrow(_sketches, "id long, n long, s1 long, s2 long, bands array<long>"), "sketches", where)
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
+    sketched = stored(rows.mapInArrow(_sketches, "id long, th long, n long, s1 long, s2 long, bands array<long>"), "sketches", where)
     classes = (
         sketched.filter("n > 0 and id is not null")
         .groupBy("s1", "s2", "n")
-        .agg(F.min(F.struct("id", "bands")).alias("top"))
-        .select("s1", "s2", "n", F.col("top.id").alias("rep"), "top.bands")
+        .agg(F.min(F.struct("id", "th", "bands")).alias("top"))
+        .select("s1", "s2", "n", F.struct(F.col("top.id").alias("i"), F.col("top.th").alias("h")).alias("rep"), "top.bands")
     )
     classes = stored(classes, "classes", where)
 
@@ -179,13 +197,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     crowded = slots.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.count(F.lit(1)).alias("members")).filter("x <> y").select("bucket", "members")
     # Aggregated sides are written before they are joined: a plain shuffle on either side is one that AQE can split for a hot key.
     shared = stored(slots.join(stored(crowded, "crowded", where), "bucket"), "shared", where)
-    standing = shared.groupBy("rep").agg(F.struct(F.sum("members").alias("company"), (-F.col("rep")).alias("back")).alias("rank"))
+    # The complements fall as the numbers rise: of several, the smallest is foremost.
+    back = [F.bitwise_not(F.col(f"rep.{c}")).alias(c) for c in ("i", "h")]
+    standing = shared.groupBy("rep").agg(F.sum("members").alias("company")).select("rep", F.struct("company", *back).alias("rank"))
     placed = stored(shared.select("rep", "bucket").join(stored(standing, "standing", where), "rep"), "placed", where)
     stars = stored(placed.groupBy("bucket").agg(F.max("rank").alias("top")), "stars", where)
-    pairs = placed.join(stars, "bucket").groupBy("rep").agg(F.max("top").alias("top")).select((-F.col("top.back")).alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    involved = shared.select(F.col("rep").alias("id")).distinct()
-    sets = stored(rows.join(involved, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, set array<long>"), "sets", where)
-    links = stored(_confirmed(pairs, sets), "links", where)
+    centre = F.struct(*[F.bitwise_not(F.col(f"top.{c}")).alias(c) for c in ("i", "h")])
+    pairs = placed.join(stars, "bucket").groupBy("rep").agg(F.max("top").alias("top")).select(centre.alias("a"), F.col("rep").alias("b")).filter("a <> b")
+    involved = shared.select(F.col("rep.i").alias("id"), F.col("rep.h").alias("th")).distinct()
+    sets = stored(rows.join(involved, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("id", "text", "th").mapInArrow(_sets, "id struct<i: long, h: long>, set array<long>"), "sets", where)
+    links = stored(_confirmed(pairs, sets).unionByName(_same_ids(sketched, classes, where)), "links", where)
     labels = components(links, f"{where}/first")
 
     # More stars over buckets that hold more than one component, a random centre for each bucket: at most BANDS pairs a text and round.
@@ -228,7 +249,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     label = classes.select("s1", "s2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("component"))
     out = sketched.select("id", "n", "s1", "s2").join(label, ["s1", "s2", "n"], "left")
-    component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
+    component = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component.i")).otherwise(F.col("id")))
     return out.select(
         F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
     )

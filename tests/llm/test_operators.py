@@ -152,6 +152,33 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+@pytest.mark.parametrize("parts", [1, 4, 9])
+def test_near_duplicates_with_repeated_ids(spark, parts):
+    """A doc_id with several texts is one node that all its texts' links reach, however the rows are partitioned."""
+    from splicery.llm.near_dedup import near_duplicates
+
+    rng = random.Random(8)
+    rows = random_docs(5, families=8, copies=6, singles=15)
+    rows = [(i if rng.random() < 0.7 else rng.randrange(len(rows)), t) for i, t in rows]
+    rows += [(3001, "aa bb cc dd ee ff gg hh"), (3002, "AA bb cc dd ee ff gg hh"), (3002, "q1 q2 q3 q4 q5 q6 q7"), (3003, "q1 q2  q3 q4 q5 q6 q7"), (3003, ""), (3002, "q1 q2 q3 q4 q5 q6 q7")]
+    sets = [(i, s) for k, (i, _) in enumerate(rows) for s in [sets_of([(k, rows[k][1])])[k]]]
+    label = {i: i for i, _ in rows}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        common = len(x & y)
+        if common and 100 * common >= 75 * len(x | y):
+            u, v = sorted((root(a), root(b)))
+            label[v] = u
+    got = near_duplicates(table(spark, rows).repartition(parts)).collect()
+    want = [(i, len(s), root(i) if s else i, i == root(i) or not s) for i, s in sets]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted(want)
+
+
 def test_exact_pass_finds_every_link_alone(spark, monkeypatch):
     """With one star for all texts nearly every link is left to the exact pass."""
     from splicery.llm import near_dedup
