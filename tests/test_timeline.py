@@ -266,3 +266,26 @@ def test_entry_imports_without_the_llm_folders(tmp_path):
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
     assert said.returncode == 0, said.stderr
     assert int(said.stdout.split()[0]) == len(timeline.QUERIES)
+
+
+def test_intermediate_tables_are_shared_and_taken_away(spark, tmp_path):
+    from splicery.sources.shared import scratch, shared_dir, stored
+
+    with scratch(spark):
+        where = shared_dir(spark)
+        out = stored(spark.range(3), "t", where)
+        out.write.parquet(str(tmp_path / "kept"))
+        assert Path(where).is_dir() and where.startswith(spark.conf.get("spark.checkpoint.dir"))
+    assert not Path(where).exists() and spark.read.parquet(str(tmp_path / "kept")).count() == 3
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace as N
+
+    from splicery.sources.shared import shared_dir
+
+    none = N(isDefined=lambda: False)
+    context = lambda master: N(master=master, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(N(conf=N(get=lambda *_: None), sparkContext=context("spark://host:7077")))
+    assert "splicery-" in shared_dir(N(conf=N(get=lambda *_: None), sparkContext=context("local[2]")))
