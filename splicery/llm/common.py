@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splicery.sources.shared import shared_dir, stored  # noqa: F401
+from splicery.sources.shared import discard, scratch, shared_dir, stored  # noqa: F401
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WHITE = " \t\n\x0b\f\r"  # [\x20\x09-\x0D]
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a folder that shared_dir() named, once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def without_white(text: Column) -> Column:
     """The text after deleting every character of [\\x20\\x09-\\x0D]."""
     for c in WHITE:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splicery.llm.common import shared_dir, stored
+from splicery.llm.common import discard, shared_dir, stored
 from splicery.llm.words import NOT_WHITE, mixed, words
 
 SHINGLE = 5
@@ -182,16 +182,17 @@ def _within_bounds(prefixes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     spark = docs.sparkSession
-    where = shared_dir(spark)
+    kept = shared_dir(spark)
+    where = f"{kept}/work"
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
-    sketched = stored(rows.mapInArrow(_sketches, "id long, th long, n long, s1 long, s2 long, bands array<long>"), "sketches", where)
+    sketched = stored(rows.mapInArrow(_sketches, "id long, th long, n long, s1 long, s2 long, bands array<long>"), "sketches", kept)
     classes = (
         sketched.filter("n > 0 and id is not null")
         .groupBy("s1", "s2", "n")
         .agg(F.min(F.struct("id", "th", "bands")).alias("top"))
         .select("s1", "s2", "n", F.struct(F.col("top.id").alias("i"), F.col("top.th").alias("h")).alias("rep"), "top.bands")
     )
-    classes = stored(classes, "classes", where)
+    classes = stored(classes, "classes", kept)
 
     slots = classes.select("rep", F.explode("bands").alias("bucket"))
     crowded = slots.groupBy("bucket").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.count(F.lit(1)).alias("members")).filter("x <> y").select("bucket", "members")
@@ -246,6 +247,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     else:
         tree = labels.select(F.col("id").alias("a"), F.col("label").alias("b"))
         found = components(tree.unionByName(late), f"{where}/second")
+    found = stored(found, "labels", kept)
+    discard(spark, where)  # the result reads sketches, classes and labels
 
     label = classes.select("s1", "s2", "n", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", "n", F.coalesce("label", "rep").alias("component"))
     out = sketched.select("id", "n", "s1", "s2").join(label, ["s1", "s2", "n"], "left")
