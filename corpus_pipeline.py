@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from splicery.llm.common import shared_dir, stored
+from splicery.llm.common import discard, scratch, shared_dir, stored
 from splicery.llm.line_dedup import dedup_lines
 from splicery.llm.mixing import mix, mixed_stream
 from splicery.llm.near_dedup import near_duplicates
@@ -73,7 +73,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    where = shared_dir(spark)
+    where, before = shared_dir(spark), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name, where)
+        with scratch(spark):  # a stage's own intermediate tables go once its result is written, its input with the next result
+            docs = stored(stage(spark, docs, sf_dir), name, where)
+        if before:
+            discard(spark, f"{where}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
