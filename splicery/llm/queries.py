@@ -72,7 +72,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from splicery.llm.mixing import mix
 
     out = mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +137,7 @@ WITH d AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), w AS (
   SELECT *, (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END)::DOUBLE AS weight,
+         (CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN -0.5 WHEN 1 THEN 0.25 ELSE 0.75 END)::DOUBLE AS slope,
          (sum(source_size) OVER ())::BIGINT AS all_words FROM s
 ), l AS (
   SELECT *, (all_words - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
@@ -146,16 +147,21 @@ WITH d AS (
 ), v AS (
   SELECT *, (SELECT arg_min(lev, rk) FROM l WHERE lev * weight <= 3 * source_size) AS water FROM l
 ), t AS (
-  SELECT source, source_size, coalesce(least(3.0::DOUBLE * source_size, water * weight), 0.0::DOUBLE) AS target FROM v
+  SELECT source, source_size, slope, coalesce(least(3.0::DOUBLE * source_size, water * weight), 0.0::DOUBLE) AS target FROM v
 ), p AS (
-  SELECT d.*, t.source_size, t.target,
+  SELECT d.*, t.source_size, t.target, t.slope,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS c
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), u AS (
+  SELECT p.*, k, greatest(0, least(size, floor(target + 0.5)::BIGINT - c - k * source_size)) AS words, (k * source_size + c) / target AS done
+  FROM p CROSS JOIN (SELECT unnest([0, 1, 2]) AS k)
+), x AS (
+  SELECT *, 2 * done / ((1 - slope) + sqrt((1 - slope) * (1 - slope) + 4 * slope * done)) AS position FROM u WHERE words > 0
+), y AS (
+  SELECT doc_id, source, c, sum(words) AS taken, arg_min(position, k) AS first_position, arg_max(position, k) AS last_position FROM x GROUP BY ALL
 )
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-       (greatest(0, least(size, floor(target + 0.5)::BIGINT - c)) + greatest(0, least(size, floor(target + 0.5)::BIGINT - c - source_size))
-        + greatest(0, least(size, floor(target + 0.5)::BIGINT - c - 2 * source_size)))::BIGINT AS taken
-FROM p
+SELECT p.doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_position, last_position
+FROM p LEFT JOIN y ON y.doc_id IS NOT DISTINCT FROM p.doc_id AND y.source IS NOT DISTINCT FROM p.source AND y.c = p.c AND p.size > 0
 """,
     "op10_exact_dedup": r"""
 WITH n AS (

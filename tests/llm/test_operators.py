@@ -259,6 +259,27 @@ def test_curriculum_moves_the_heavy_sources_forward(spark):
     assert mean("a") < 0.47 and mean("b") > 0.5
 
 
+def test_curriculum_follows_its_integrals(spark):
+    """Of a source's words those placed before t are the integral of its schedule, up to a document; a flat schedule gives other positions."""
+    from splicery.llm.mixing import SLOPES, mix
+
+    rng = random.Random(1)
+    rows = [(i, "w " * rng.randint(1, 9), "abc"[i % 3], "kept") for i in range(1500)]
+    docs = table(spark, rows, "doc_id long, text string, source string, slope string")
+    sloped, flat = ({r.doc_id: r for r in mix(docs, slopes=s).collect()} for s in (SLOPES, (0.0, 0.0, 0.0)))
+    assert all(r.slope == "kept" for r in sloped.values())
+    for s, slope in zip("abc", SLOPES):
+        for t in (0.1, 0.25, 0.5, 0.8, 1.0):
+            for got, a in ((sloped, slope), (flat, 0.0)):
+                own = [r for r in got.values() if r.source == s]
+                before = sum(u.words for r in own for u in r.occurrences if u.position < t)
+                assert abs(before - own[0].target * (t + a * (t * t - t))) <= 10
+        assert any(sloped[i].first_position != flat[i].first_position for i in sloped if sloped[i].source == s and sloped[i].taken)
+    for r in sloped.values():
+        spots = [u.position for u in r.occurrences]
+        assert (r.first_position, r.last_position) == ((spots[0], spots[-1]) if spots else (None, None)) and spots == sorted(spots)
+
+
 # -- toxicity ---------------------------------------------------------------------------------
 
 
