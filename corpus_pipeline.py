@@ -6,12 +6,15 @@ next stage's docs. Every stage but the last returns the columns of documents. No
 
 Nulls, empty texts, repeated rows and empty tables are treated as each operator states. n_chars follows the text
 where a stage changes it. The mixing stage repeats documents whose source's target exceeds its size; the use in which a
-source's target ends is taken whole or left out, whichever is nearer to the target.
+source's target ends is taken whole or left out, whichever is nearer to the target. It writes its rows in training order,
+range-sorted over files; the last stage reads each row's place in them and returns it as training_order, from 0 on (null
+for docs that are not read from files).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from splicery.llm.common import discard, scratch, shared_dir, stored
@@ -54,9 +57,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
+def training_order(docs: DataFrame) -> DataFrame:
+    """docs with the place of each row in the files that they are read from, part by part."""
+    try:
+        placed = docs.select(*docs.columns, F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("_x_part"), F.col("_metadata.row_index").alias("_x_row"))
+    except AnalysisException:  # rows that come from no file have no place
+        return docs.withColumn("training_order", F.lit(None).cast("long"))
+    # One row for each written part: bounded by the number of partitions.
+    before = Window.orderBy("_x_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("_x_part").agg(F.count(F.lit(1)).alias("n")).select("_x_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_x_base"))
+    return placed.join(F.broadcast(parts), "_x_part").select(*docs.columns, (F.col("_x_base") + F.col("_x_row")).alias("training_order"))
+
+
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the ids of their best segmentation and the other N-best ones."""
-    return encode_pieces(docs, piece_model())
+    """Documents with the ids of their best segmentation, the other N-best ones, and their place in training."""
+    return encode_pieces(training_order(docs), piece_model())
 
 
 STAGES = [
