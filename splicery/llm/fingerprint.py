@@ -1,15 +1,14 @@
 """Document fingerprints by order MinHash, with DataFrame functions only.
 
 The k-mers of a text are runs of K words, numbered by occurrence: the second "a b c" is another k-mer than the
-first. Each of M hash functions selects two minimal k-mers of the text, one from either half of a fixed split of
-all numbered k-mers. The two are kept in text order, and the hash of the pair is one of the fingerprint's M
-parts. Two texts agree in a part when they share both k-mers in the same order, so the share of equal parts
-falls with insertions, deletions and moves alike. (The two minima come from disjoint halves, not from one ranking:
-a plain min() finds them, so selection is one hash aggregation inside the task that holds the text.)
+first. Each of M hash functions, an independent rehash of the numbered k-mers, selects the two smallest of its
+ranking. The two are kept in text order, and the hash of the pair is one of the fingerprint's M parts. Two texts
+agree in a part when they share both k-mers in the same order, so the share of equal parts falls with insertions,
+deletions and moves alike. A text's parts are array expressions over its own row: nothing is exploded or shuffled.
 
 Texts meet the next text, in descending key order, inside key ranges: sampled quantiles split the keys into
-four times as many ranges as there are shuffle partitions; the first row of each range is also sent to the end of the
-range before it. Texts are shuffled once.
+four times as many ranges as there are shuffle partitions; a key that fills more than one of them, or null, is split by
+text hash. The first row of each range is also sent to the end of the range before it. Texts are shuffled once.
 
 Defined results: null text counts as empty. Of rows with one key those with the smaller text hash come first,
 and repeated rows each count. A null key sorts last. An empty text has no k-mers and the fingerprint "", which
@@ -19,62 +18,69 @@ next document. An empty table gives no rows. Only key and text are read.
 
 from __future__ import annotations
 
-import hashlib
 import math
+from bisect import bisect_right
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 3
 M = 24
-#: A selected value holds the hash in its upper bits and the word position in the lower ones.
-_POSITION = (1 << 24) - 1
 
 
-def _mask(j: int) -> int:
-    """Hash function j is y XOR this: each maps the (random) hashes y one to one, and ranks them by another point's distance."""
-    bits = int.from_bytes(hashlib.sha256(b"fingerprint %d" % j).digest()[:8], "big", signed=True)
-    return bits & ~_POSITION
-
-
-def _value(h: Column, number: Column | int, at: Column) -> Column:
-    """A numbered k-mer's hash in the upper bits, its position in the lower ones."""
-    return F.xxhash64(h, number if isinstance(number, Column) else F.lit(number)).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(F.least(at, F.lit(_POSITION)).cast("long"))
+def _with(x: Column, f) -> Column:
+    """f(x) with x computed once."""
+    return F.transform(F.array(x), f)[0]
 
 
 def numbered_kmers(text: Column, k: int = K) -> Column:
-    """Values of the occurrence-numbered k-mers of a text, in any order.
-
-    `F.transform(F.array(x), f)[0]` stands for f(x) with x computed once.
-    """
+    """Struct (ids, at): the occurrence-numbered k-mers of a text and their places; `at` is null where they stand in text order."""
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     words = F.transform(F.split(trimmed, "[\\x20\\x09-\\x0D]+"), lambda w: F.xxhash64(w))
-    plain = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))[0]
+    plain = _with(words, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(k)])))
+    pair = lambda h, n, at: F.struct(F.xxhash64(h, n).alias("id"), at.alias("at"))
 
     def ranked(pairs: Column) -> Column:
         # Sorted by hash, a k-mer's number is its distance from the start of its run; the starts spread by doubling steps.
         starts = F.transform(pairs, lambda x, i: F.when((i > 0) & (F.get(pairs, i - 1)["h"] == x["h"]), F.lit(0)).otherwise(i))
         steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(pairs))).cast("int"))
         spread = F.aggregate(steps, starts, lambda s, e: F.transform(s, lambda v, i: F.greatest(v, F.coalesce(F.get(s, i - F.pow(F.lit(2), e).cast("int")), F.lit(0)))))
-        return F.zip_with(pairs, F.transform(spread, lambda s, i: i - s), lambda x, n: _value(x["h"], n, x["at"]))
+        return F.zip_with(pairs, F.transform(spread, lambda s, i: i - s), lambda x, n: pair(x["h"], n, x["at"]))
 
     def numbered(h: Column, repeated: Column) -> Column:
         all_pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("at")))
         few = F.size(repeated) <= 64
         pairs = F.when(few, F.filter(all_pairs, lambda x: F.array_contains(repeated, x["h"]))).otherwise(all_pairs)
-        single = F.transform(F.filter(all_pairs, lambda x: ~F.array_contains(repeated, x["h"])), lambda x: _value(x["h"], 0, x["at"]))
-        again = F.transform(F.array(F.sort_array(pairs)), ranked)[0]
+        single = F.transform(F.filter(all_pairs, lambda x: ~F.array_contains(repeated, x["h"])), lambda x: pair(x["h"], F.lit(0), x["at"]))
+        again = _with(F.sort_array(pairs), ranked)
         return F.when(few, F.concat(single, again)).otherwise(again)
 
     def repeats(h: Column) -> Column:
-        return F.transform(F.array(F.sort_array(h)), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))))[0]
+        return _with(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (F.get(s, i - 1) == x))))
 
     def number(h: Column) -> Column:
-        fast = F.transform(h, lambda x, i: _value(x, 0, i))
-        slow = F.transform(F.array(repeats(h)), lambda r: numbered(h, r))[0]
+        fast = F.struct(F.transform(h, lambda x: F.xxhash64(x, F.lit(0))).alias("ids"), F.lit(None).cast("array<int>").alias("at"))
+        slow = _with(_with(repeats(h), lambda r: numbered(h, r)), lambda v: F.struct(v["id"].alias("ids"), v["at"].alias("at")))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), fast).otherwise(slow)
 
-    return F.when(trimmed == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.array(plain), number)[0])
+    return F.when(trimmed != "", _with(plain, number))
+
+
+def parts_of(text: Column, k: int = K, m: int = M) -> Column:
+    """The M parts of a text's fingerprint; null for a text without k-mers."""
+
+    def part(v: Column, y: Column, a: Column, b: Column) -> Column:
+        place = lambda x: _with(F.array_position(y, x).cast("int") - 1, lambda p: F.coalesce(F.get(v["at"], p), p))
+        # Of a single k-mer there is no second one: a zero stands in.
+        pair = F.when(b.isNull(), F.xxhash64(a, F.lit(0))).when(place(a) < place(b), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
+        return pair.bitwiseAND(F.lit(0xFFFFFFFF))
+
+    def selected(v: Column, j: Column) -> Column:
+        ranking = F.transform(v["ids"], lambda x: F.xxhash64(j, x))
+        return _with(ranking, lambda y: _with(F.array_min(y), lambda a: _with(F.array_min(F.array_remove(y, a)), lambda b: part(v, y, a, b))))
+
+    return _with(numbered_kmers(text, k), lambda v: F.when(v.isNotNull(), F.transform(F.sequence(F.lit(1), F.lit(m)), lambda j: selected(v, j))))
 
 
 def _cuts_above(key: Column, cuts: list[int]) -> Column:
@@ -95,10 +101,21 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     # Four ranges for each partition, so that partitions made of whole ranges come out even.
     n = 4 * parts
-    cuts = sorted({int(c) for c in rows.select("key").dropna().approxQuantile("key", [i / n for i in range(1, n)], 1 / (10 * n))})
+    found = Counter(int(c) for c in rows.select("key").dropna().approxQuantile("key", [i / n for i in range(1, n)], 1 / (10 * n)))
+    # A key that is several cuts fills as many ranges: it gets a range of its own, cut into pieces along its text hashes.
+    hot = {c: times for c, times in found.items() if times > 1}
+    cuts = sorted({*found, *(c + 1 for c in hot if c < 2**63 - 1)})
+    total, known = rows.agg(F.count(F.lit(1)), F.count("key")).first()
     # Ranges are numbered from the largest keys on; null keys form the last.
-    rows = rows.withColumn("range", F.when(F.col("key").isNull(), F.lit(len(cuts) + 1)).otherwise(_cuts_above(F.col("key"), cuts)))
-    # One row a range: at most four times as many as there are partitions, and one for null keys.
+    pieces = [1] * (len(cuts) + 1) + [1 + n * (total - known) // max(1, total)]
+    for c, times in hot.items():
+        pieces[len(cuts) - bisect_right(cuts, c)] = times
+    wide = max(pieces)
+    whole = F.when(F.col("key").isNull(), F.lit(len(cuts) + 1)).otherwise(_cuts_above(F.col("key"), cuts))
+    rows = rows.withColumn("whole", whole).withColumn("pieces", F.get(F.array(*[F.lit(x) for x in pieces]), F.col("whole")) if wide > 1 else F.lit(1))
+    piece = F.least(F.floor((F.col("th") / F.lit(2.0**64) + 0.5) * F.col("pieces")), F.col("pieces") - 1)
+    rows = rows.withColumn("range", F.col("whole").cast("long") * wide + piece).drop("whole", "pieces")
+    # One row a range: at most some ten times as many as there are partitions.
     by_range, everything = Window.orderBy("range"), Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = rows.groupBy("range").agg(F.min(F.struct(F.bitwise_not(F.col("key")).alias("down"), "th")).alias("top"))
     guests = heads.select(
@@ -113,37 +130,6 @@ def with_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     return placed.repartitionByRange(parts, "range").select("range", "guest", "key", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("next_text"))
 
 
-def fingerprint_parts(texts: DataFrame, carry: list[str], k: int = K, m: int = M) -> DataFrame:
-    """For rows (range, place, version, body, *carry): (range, place, *carry, own, other), the parts of versions 0 and 1.
-
-    `carry` columns are numbers, alike in both versions: with fixed-width keys and buffers the k-mers of a task go through one
-    hash aggregation, each as a row of two keys and a value. A text without k-mers has null parts.
-    """
-    kmers = texts.select("range", "place", "version", *carry, numbered_kmers(F.col("body"), k).alias("v"))
-    # The outer form: a text without k-mers keeps its row, and no filter that computes the array again is inferred.
-    each = kmers.select("range", "place", "version", *carry, F.explode_outer("v").alias("v"))
-    half = F.when(F.col("v").bitwiseAND(F.lit(_POSITION + 1)) == 0, F.lit(0)).otherwise(F.lit(1))
-    each = each.select("range", (F.col("place").cast("long") * 4 + F.col("version") * 2 + half).alias("code"), "v", *carry)
-    mins = each.groupBy("range", "code").agg(*[F.min(F.col("v").bitwiseXOR(F.lit(_mask(j)))).alias(f"m{j}") for j in range(m)], *[F.max(c).alias(c) for c in carry])
-    mins = mins.select("range", "code", *carry, F.array(*[F.col(f"m{j}").bitwiseXOR(F.lit(_mask(j))) for j in range(m)]).alias("m"))
-    # At most four rows a document from here on.
-    spot = lambda version, h: F.max(F.when(F.col("code") % 4 == 2 * version + h, F.col("m"))).alias(f"m{version}{h}")
-    wide = mins.groupBy("range", F.floor(F.col("code") / 4).cast("long").alias("place")).agg(*[spot(x, h) for x in (0, 1) for h in (0, 1)], *[F.max(c).alias(c) for c in carry])
-
-    def part(a: Column, b: Column) -> Column:
-        x, y = a.bitwiseAND(F.lit(~_POSITION)), b.bitwiseAND(F.lit(~_POSITION))
-        forward = a.bitwiseAND(F.lit(_POSITION)) <= b.bitwiseAND(F.lit(_POSITION))
-        return F.when(forward, F.xxhash64(x, y)).otherwise(F.xxhash64(y, x)).bitwiseAND(F.lit(0xFFFFFFFF))
-
-    def parts(version: int) -> Column:
-        # Of a half without k-mers nothing is selected: a zero stands in.
-        none = F.array_repeat(F.lit(0).cast("long"), m)
-        low, high = (F.when(F.get(f"m{version}{h}", F.lit(0)).isNotNull(), F.col(f"m{version}{h}")) for h in (0, 1))
-        return F.when(low.isNotNull() | high.isNotNull(), F.zip_with(F.coalesce(low, none), F.coalesce(high, none), part))
-
-    return wide.select("range", "place", *carry, parts(0).alias("own"), parts(1).alias("other"))
-
-
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal parts of two fingerprints (arrays; null for a text without k-mers)."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: F.when(x == y, F.lit(1)).otherwise(F.lit(0))), F.lit(0), lambda s, v: s + v)
@@ -162,15 +148,14 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", k: in
     rows = with_next(docs, text, key).withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.left("text", F.col("n_chars").cast("int") - third), F.left(F.coalesce("next_text", F.lit("")), third))
-    # A SHA-256 travels as four longs, so that no string takes part in the aggregation.
-    sha = [F.conv(F.substring("sha", 1 + 16 * i, 16), 16, -10).cast("long").alias(f"sha{i}") for i in range(4)]
-    carry = ["guest", "key", "n_chars", "sha0", "sha1", "sha2", "sha3"]
-    base = rows.withColumn("edited", edited).withColumn("sha", F.sha2(F.col("edited"), 256)).select("range", "place", "guest", "key", "n_chars", *sha, F.array(F.col("text"), F.when(~F.col("guest"), F.col("edited"))).alias("texts"))
-    versions = base.select("range", "place", *carry, F.posexplode_outer("texts").alias("version", "body")).filter("body is not null")
-    wide = fingerprint_parts(versions, carry, k, m)
+    own = F.col("own")
+    made = rows.withColumn("edited", edited).select(
+        "range", "place", "guest", "key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), parts_of(F.col("text"), k, m).alias("own"),
+        F.when(~F.col("guest"), parts_of(F.col("edited"), k, m)).alias("other"),
+    )
     after = Window.partitionBy("range").orderBy("place")
-    out = wide.withColumn("following", F.lead("own").over(after)).filter("not guest")
+    out = made.withColumn("following", F.lead("own").over(after)).filter("not guest")
     return out.select(
-        F.col("key").alias(key), "n_chars", F.concat(*[F.lower(F.lpad(F.hex(f"sha{i}"), 16, "0")) for i in range(4)]).alias("edited_sha256"), as_text(F.col("own")).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"),
+        F.col("key").alias(key), "n_chars", "edited_sha256", as_text(own).alias("fingerprint"), as_text(F.col("other")).alias("edited_fingerprint"),
+        likeness(own, F.col("other")).alias("near_edited"), likeness(own, F.col("following")).alias("near_next"),
     )

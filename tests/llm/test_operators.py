@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string"
@@ -500,29 +501,58 @@ def test_license_scan(spark):
 # -- fingerprints -----------------------------------------------------------------------------
 
 
-def test_numbered_kmers_and_selection(spark):
-    """Against a plain version: occurrence numbers, two minima of each function, text order."""
+def spark_hash(*xs):
+    """xxhash64() of strings, longs and ints, seed 42, as a signed long."""
+    seed = 42
+    for x, width in xs:
+        seed = xxhash.xxh64_intdigest(x.encode() if width == 0 else (x % (1 << 8 * width)).to_bytes(width, "little"), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_parts(text, m=24):
+    """Order MinHash by hand: numbered 3-word runs, and for each function the two smallest in text order."""
+    w = [spark_hash((x, 0)) for x in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    if not w:
+        return None
+    seen, ids = {}, []
+    for i in range(max(1, len(w) - 2)):
+        h = spark_hash(*[(x, 8) for x in w[i : i + 3]])
+        ids.append(spark_hash((h, 8), (seen.setdefault(h, 0), 4)))
+        seen[h] += 1
+    parts = []
+    for j in range(1, m + 1):
+        ranked = sorted((spark_hash((j, 4), (x, 8)), at) for at, x in enumerate(ids))[:2]
+        ranked.sort(key=lambda r: r[1])
+        pair = [(y, 8) for y, _ in ranked]
+        parts.append(spark_hash(*(pair if len(pair) == 2 else [*pair, (0, 4)])) & 0xFFFFFFFF)
+    return parts
+
+
+def test_parts_equal_a_plain_version(spark):
     from splicery.llm import fingerprint as f
 
-    texts = ["a b c", "a b", "", "a b a b a b a b", " ".join(f"w{i % 70} x y" for i in range(300)), "a b c d e f g h a b c", "q " * 500]
-    rows = table(spark, list(enumerate(texts))).select("doc_id", "text", f.numbered_kmers(F.coalesce("text", F.lit(""))).alias("v"))
-    for r in rows.collect():
-        w = r.text.split()
-        n = max(1, len(w) - 2) if w else 0
-        assert sorted(v & f._POSITION for v in r.v) == list(range(n))
-        seen, number = {}, []
-        for i in range(n):
-            k = tuple(w[i : i + 3])
-            number.append((k, seen.setdefault(k, 0)))
-            seen[k] += 1
-        upper = {v & f._POSITION: v & ~f._POSITION for v in r.v}
-        assert len({upper[i] for i in range(n)}) == len(set(number)) == n
-        ids = {}
-        for i in range(n):
-            assert ids.setdefault(number[i], upper[i]) == upper[i]
-    # The same numbered k-mers have the same values in other texts.
-    one = {r.doc_id: {v & ~f._POSITION for v in r.v} for r in rows.collect()}
-    assert one[0] < one[5]
+    rng = random.Random(3)
+    texts = ["a b c", "a b", "", " \n", "a b a b a b a b", " ".join(f"w{i % 70} x y" for i in range(300)), "a b c d e f g h a b c", "q " * 500, "é 日 x"]
+    texts += [" ".join(f"w{rng.randint(0, top)}" for _ in range(rng.randint(3, 400))) for top in (2, 3, 9, 9, 400, 400)]
+    for r in table(spark, list(enumerate(texts))).select("text", f.parts_of(F.col("text")).alias("parts")).collect():
+        assert r.parts == plain_parts(r.text), r.text[:40]
+
+
+@pytest.mark.parametrize("keys", ["distinct", "one", "null", "few"])
+def test_next_text_with_hot_keys(spark, keys):
+    """Every row meets the next one in descending key order, ties by text hash, whatever the share of one key or of nulls."""
+    from splicery.llm.fingerprint import with_next
+
+    rng = random.Random(5)
+    name = {"distinct": lambda i: i, "one": lambda i: 7 if i % 3 else i, "null": lambda i: None if i % 3 == 0 else i, "few": lambda i: i % 4}[keys]
+    rows = [(name(i), f"text {rng.randint(0, 10**9)}") for i in range(600)]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), spark_hash((r[1], 0))))
+    want = {(k, t): order[(i + 1) % len(order)][1] for i, (k, t) in enumerate(order)}
+    found = with_next(table(spark, rows).repartition(5))
+    got = found.filter("not guest").collect()
+    assert len(got) == len(rows) and {(r.key, r.text): r.next_text for r in got} == want
+    sizes = [r["count"] for r in found.groupBy("range").count().collect()]
+    assert max(sizes) <= 200
 
 
 def test_fingerprints(spark):
