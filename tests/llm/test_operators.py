@@ -417,6 +417,35 @@ def test_html_extract(spark):
         assert cost(min_cut(odds, edges)) == pytest.approx(best)
 
 
+def test_the_cut_decides_labels(spark):
+    """Extraction against the cheapest of all labellings of a page's graph; and blocks whose own text says otherwise follow their section."""
+    from splicery.llm import html_extract as h
+
+    weights = h.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    rng = random.Random(4)
+    texts = ["Be.", "One.", "Home", "A sentence of quite some words, long enough to look like an article.", "Another sentence, with more of the words that texts have, so it goes on.", "© a.b 2020"]
+    for _ in range(25):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            tag = rng.choice(["article", "nav", "div", "section class=related", "div class=body"])
+            inner = "".join(f"<{t}>{rng.choice(texts)}</{t}>" for t in rng.choices(["p", "li", "h2", "div"], k=rng.randint(1, 2)))
+            parts.append(f"<{tag}>{inner}</{tag.split()[0]}>")
+        blocks = h.blocks_of("<body>" + "".join(parts))
+        own = [h.own_odds(b, weights) for b in blocks]
+        odds, edges = h.graph_of(blocks, own)
+        cost = lambda keep: sum(max(0, -x) if k else max(0, x) for x, k in zip(odds, keep)) + sum(c for a, b, c in edges if keep[a] != keep[b])  # noqa: B023, E731
+        assert cost(h.min_cut(odds, edges)) == pytest.approx(min(map(cost, itertools.product([False, True], repeat=len(odds)))))
+    page = f"<body><nav><p>{texts[3]}</p></nav><div>{texts[4]}</div><article><h1>Be.</h1><p>{texts[3]}</p><p>One.</p><p>{texts[4]}</p></article>"
+    blocks = h.blocks_of(page)
+    own = [h.own_odds(b, weights) > 0 for b in blocks]
+    kept = [b.text in h.main_text(page, weights) for b in blocks]
+    assert own[:3] == [True, True, False] and h.main_text(page, weights) == f"Be. {texts[3]} One. {texts[4]}" and own != kept
+    # Without any marked section the short paragraphs still follow those beside them.
+    plain = re.sub("nav|article", "div", page.replace("nav>", "ul>").replace(f"<p>{texts[3]}</p></ul>", "<li><a href=x>Home</a><li><a href=y>More</a></ul>"))
+    assert "One." in h.main_text(plain, weights) and "Home" not in h.main_text(plain, weights)
+    assert (h.fit(spark.createDataFrame([("<p>x</p>",), (None,)], "html string")) == np.array(h.FALLBACK)).all()
+
+
 # -- pieces -----------------------------------------------------------------------------------
 
 
