@@ -527,6 +527,45 @@ def test_license_scan(spark):
     assert scan_licenses(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("Under the MIT License or the GNU General Public License, version 3.", "gpl,mit", 1.0),
+        ("Under the MIT License and the GNU General Public License.", "gpl,mit", 0.4),
+        ("GNU General Public License, version 2 or later, with the Classpath Exception", "gpl", 0.4),
+        ("GNU General Public License version 2 or any later version, or Apache License", "apache,gpl", 1.0),
+        ("MIT License or Apache License and CC BY-NC 4.0", "apache,cc-by,cc-by-nc,mit", 1.0),
+        ("MIT License. Some other text stands here. CC BY-NC 4.0", "cc-by,cc-by-nc,mit", 0.2),
+        ("Classpath exception", "", 0.0),
+        ("SPDX-License-Identifier: Zlib AND (ISC OR SSPL-1.0)", "isc,sspl-1.0,zlib", 1.0),
+    ],
+)
+def test_notices_are_expressions(text, labels, score):
+    from splicery.llm.license_scan import scan_text
+
+    got = scan_text(text)
+    assert (got[4], got[5]) == (labels, score)
+
+
+def test_expressions_equal_a_plain_evaluation():
+    from splicery.llm.license_scan import openness, parse_expression
+
+    rng = random.Random(11)
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            name = rng.choice(["MIT", "GPL-2.0", "CC-BY-NC-4.0", "MPL-2.0", "Thing"])
+            return (f"{name} WITH X-exception" if rng.random() < 0.2 else name), openness(name.lower())
+        op = rng.choice(["AND", "OR"])
+        (a, x), (b, y) = made(depth - 1), made(depth - 1)
+        return f"({a}) {op} ({b})", (min if op == "AND" else max)(x, y)
+
+    for _ in range(200):
+        text, value = made(4)
+        assert parse_expression(text)[1] == value
+    assert parse_expression("MIT OR GPL-2.0 AND CC-BY-NC-4.0")[1] == 1.0 and parse_expression("(MIT OR GPL-2.0) AND CC-BY-NC-4.0")[1] == 0.2
+
+
 # -- fingerprints -----------------------------------------------------------------------------
 
 
