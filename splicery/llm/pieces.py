@@ -24,6 +24,7 @@ import zlib
 from collections.abc import Iterator
 from itertools import chain, repeat
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +38,8 @@ _OWN = "\ud800"  # stands for a text's own U+2581
 N_BEST = 4
 #: Words known to a task before it starts anew.
 KEPT = 60_000
+#: And their code points.
+KEPT_CHARS = 1 << 22
 #: Words of one forward pass.
 STEP = 8_000
 #: Longer words, and words behind several spaces, take the plain forward pass.
@@ -58,12 +61,16 @@ class Pieces:
         self.score = {model.id_to_piece(i): (i, float(model.get_score(i))) for i in normal}
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("a piece holds a space after another character")
-        self.unknown = min(s for _, s in self.score.values()) - PENALTY if normal else -PENALTY
         usual = [s for _, s in self.score.values() if s > -1e8]
         self.unknown = (min(usual) if usual else 0.0) - PENALTY
         self.longest = max(map(len, self.score), default=1)
         self.out = {i: model.id_to_piece(i).replace(SPACE, " ").encode() for i in normal} | {i: bytes([b]) for b, i in self.byte.items()}
         self.n_best = n_best
+        self._matches = ahocorasick.Automaton()
+        for piece, (_, s) in self.score.items():
+            self._matches.add_word(piece, (len(piece), s))
+        if self.score:
+            self._matches.make_automaton()
         self._tables()
         self.clear()
 
@@ -83,9 +90,22 @@ class Pieces:
         return tuple(self.byte[b] for b in (SPACE if char == _OWN else char).encode())
 
     def forward(self, word: str) -> list[float]:
-        best = [0.0]
-        for end in range(1, len(word) + 1):
-            best.append(max(best[start] + s for start, _, s in self.edges(word, end)))
+        # One pass of an automaton finds the pieces that end at each place.
+        none = float("-inf")
+        best, single = [none] * (len(word) + 1), bytearray(len(word) + 1)
+        best[0], done = 0.0, 0
+        for at, (n, s) in self._matches.iter(word) if self.score else ():
+            while done < at:  # a code point that is no piece itself
+                done += 1
+                if not single[done]:
+                    best[done] = max(best[done], best[done - 1] + self.unknown)
+            end = at + 1
+            single[end] |= n == 1
+            best[end] = max(best[end], best[end - n] + s)
+        while done < len(word):
+            done += 1
+            if not single[done]:
+                best[done] = max(best[done], best[done - 1] + self.unknown)
         return best
 
     def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -202,6 +222,7 @@ class Pieces:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.lists: dict[str, list] = {}
+        self.chars = 0
         self.ids, self.start, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), 0
         self.best, self.gap = np.zeros(1 << 12), np.zeros(1 << 12)
 
@@ -226,6 +247,7 @@ class Pieces:
         self.start[n + 1 : m + 1] = self.used + np.cumsum(counts)
         self.best[n:m], self.gap[n:m] = best, best - second
         self.used += len(ids)
+        self.chars += sum(map(len, words))
         self.known.update(zip(words, range(n, m), strict=True))
 
     @staticmethod
@@ -246,7 +268,7 @@ class Pieces:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[tuple[float, list[tuple[int, tuple[int, ...]]]]]]]:
         """For each text the ids of its best segmentation, and (score, changes) of its N best; a change is (word number, ids)."""
-        if len(self.known) > KEPT:
+        if len(self.known) > KEPT or self.chars > KEPT_CHARS:
             self.clear()
         if len(self.lists) > KEPT // 8:
             self.lists = {}

@@ -44,7 +44,8 @@ PERCENTILE = 90
 SEGMENT = 1 << 17
 #: Characters that are encoded at once.
 PIECE = 1 << 19
-WORDS_KEPT = 1_000_000
+#: Words known to a worker before it starts anew, and the characters of one that is kept; texts with longer words are encoded directly.
+WORDS_KEPT, LONG = 500_000, 128
 MAGIC = b"SPF1"
 _END = "\0\0"
 
@@ -108,6 +109,7 @@ class Encoder:
         if self.entries > WORDS_KEPT:
             self.clear()
         parts = [f"\0{t}".split(" ") if "\0" not in t else ["\0 "] for t in texts]
+        parts = [p if max(map(len, p)) <= LONG else ["\0 "] for p in parts]
         for p in parts:
             p.append(_END)
         flat = list(chain.from_iterable(parts))

@@ -489,6 +489,26 @@ def test_n_best_equals_all_paths(text):
     assert len(seen) == len(ranked) and m.decode(ids.tolist()) == text
 
 
+def test_long_words_without_spaces():
+    """The pass over an automaton's matches against the edges themselves; and what a worker keeps is bounded by its code points."""
+    from splicery.llm import pieces as p
+
+    m = p.Pieces(PIECES)
+    rng = random.Random(2)
+    for _ in range(30):
+        word = p.SPACE * rng.randint(1, 3) + "".join(rng.choice(["日", "本", "the", "ing", "é", "\U0001f600", "x", p._OWN, "q"]) for _ in range(rng.randint(1, 90)))
+        best = [0.0]
+        for end in range(1, len(word) + 1):
+            best.append(max(best[start] + s for start, _, s in m.edges(word, end)))
+        assert m.forward(word) == best
+    text = "日本語の文章" * 20_000
+    ids, _ = m.encode([text])[0]
+    assert m.decode(ids.tolist()) == text
+    m.chars = p.KEPT_CHARS + 1
+    m.encode(["a"])
+    assert len(m.known) == 1
+
+
 def test_pieces_on_tables(spark):
     from splicery.llm.pieces import encode_pieces
 
@@ -664,7 +684,7 @@ def test_token_files(spark):
     from splicery.llm.token_output import token_files
 
     model = Tokenizer.from_file(BPE)
-    rows = EDGES + [(70 + i, t) for i, t in enumerate(["a  b", "it's <|endoftext|> x 's\n a", "a\xa0 b", "　x y", "x ", " lead", "a\0 \0b c", "don't stop\r\nnow", "a \x1cb c"])]
+    rows = EDGES + [(70 + i, t) for i, t in enumerate(["a  b", "it's <|endoftext|> x 's\n a", "a\xa0 b", "　x y", "x ", " lead", "a\0 \0b c", "y" * 500 + " z", "日本" * 300 + " a", "don't stop\r\nnow", "a \x1cb c"])]
     got = token_files(spark.createDataFrame([(*r, 7) for r in rows], DOCS + ", start int").repartition(3), BPE, end_id=2).collect()
     assert len(got) == len(rows)
     start = 0
