@@ -47,18 +47,19 @@ def transition_names(spark: SparkSession) -> DataFrame:
     return _table(spark, [(x, x.replace("-", "")) for x in TRANSITIONS + HYPHENATED], "spelling string, name string")
 
 
-def position_table(spark: SparkSession) -> DataFrame:
-    """(position, text_x, text_y, image_x, image_y): 10 pixels from the edges, or centred."""
+def _axis(word: str, near: str, far: str, whole: str, part: str) -> str:
+    parts = word.split("-")
+    return MARGIN if near in parts else f"{whole}-{part}-{MARGIN}" if far in parts else f"({whole}-{part})/2"
+
 
-    def axis(word: str, near: str, far: str, whole: str, part: str) -> str:
-        parts = word.split("-")
-        return MARGIN if near in parts else f"{whole}-{part}-{MARGIN}" if far in parts else f"({whole}-{part})/2"
+#: (x, y) of each position, 10 pixels from the edges, or centred.
+TEXT_SPOTS = {p: (_axis(p, "left", "right", "w", "text_w"), _axis(p, "top", "bottom", "h", "text_h")) for p in POSITIONS}
+IMAGE_SPOTS = {p: (_axis(p, "left", "right", "W", "w"), _axis(p, "top", "bottom", "H", "h")) for p in POSITIONS}
 
-    rows = [
-        (p, axis(p, "left", "right", "w", "text_w"), axis(p, "top", "bottom", "h", "text_h"), axis(p, "left", "right", "W", "w"), axis(p, "top", "bottom", "H", "h"))
-        for p in POSITIONS
-    ]
-    return _table(spark, rows, "position string, text_x string, text_y string, image_x string, image_y string")
+
+def position_table(spark: SparkSession) -> DataFrame:
+    """(position, text_x, text_y, image_x, image_y)."""
+    return _table(spark, [(p, *TEXT_SPOTS[p], *IMAGE_SPOTS[p]) for p in POSITIONS], "position string, text_x string, text_y string, image_x string, image_y string")
 
 
 def encoder_table(spark: SparkSession) -> DataFrame:

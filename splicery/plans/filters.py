@@ -72,6 +72,8 @@ def effect_steps(width: Column, height: Column) -> list[tuple[str, Column]]:
         ("grn", F.concat(F.lit("noise=alls="), (F.col("grain") * 100).cast("int").cast("string"), F.lit(":allf=t"))),
         ("opc", F.when(F.col("opacity") < 1, text("format=rgba,colorchannelmixer=aa=", "opacity"))),
         ("rev", true("reverse", "reverse")),
+        # A key given as #hex uses up two label numbers: the first belongs to no filter.
+        ("", F.when(F.col("chromakey").startswith("#"), F.lit(""))),
         ("ck", F.when(F.col("chromakey").isNotNull(), F.concat(F.lit("chromakey="), key_color(F.col("chromakey")), F.lit(":0.1:0.2")))),
         ("stb", true("stabilize", "deshake")),
     ]
@@ -92,9 +94,9 @@ def sound_steps() -> list[tuple[str, Column]]:
     return [
         ("vol", text("volume=", "volume")),
         ("at", tempo_texts(F.col("speed"))),
-        ("afi", F.concat(F.lit("afade=t=in:st=0:d="), number_text(F.col("fade_in")))),
-        ("afo", F.concat(F.lit("afade=t=out:st="), number_text(start), F.lit(":d="), number_text(F.col("fade_out")))),
-        ("ar", F.when(F.col("reverse"), F.lit("areverse"))),
+        ("af", F.concat(F.lit("afade=t=in:st=0:d="), number_text(F.col("fade_in")))),
+        ("af", F.concat(F.lit("afade=t=out:st="), number_text(start), F.lit(":d="), number_text(F.col("fade_out")))),
+        ("arev", F.when(F.col("reverse"), F.lit("areverse"))),
         ("ln", F.when(F.col("normalize"), F.lit("loudnorm"))),
     ]
 
@@ -118,7 +120,7 @@ def filter_rows(clips: DataFrame, width: Column, height: Column) -> DataFrame:
     steps = clips.select("program_id", F.col("item_no").alias("clip_no"), F.explode(F.filter(F.concat(video, sound), lambda s: s["expr"].isNotNull())).alias("s"))
     whole = Window.partitionBy("program_id").orderBy("clip_no", "s.step", "s.part")
     numbered = steps.withColumn("seq", (F.row_number().over(whole) - 1).cast("bigint"))
-    labelled = numbered.withColumn("output", F.concat("s.prefix", F.col("seq").cast("string")))
+    labelled = numbered.withColumn("output", F.concat("s.prefix", F.col("seq").cast("string"))).filter(F.col("s.expr") != "")
     previous = F.lag("output").over(Window.partitionBy("program_id", "clip_no", "s.kind").orderBy("seq"))
     return labelled.select("program_id", "seq", "clip_no", F.coalesce(previous, F.col("s.source")).alias("input"), F.col("s.expr").alias("expr"), "output")
 

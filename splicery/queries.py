@@ -538,8 +538,8 @@ _STEPS = [
     (100, "a", "ta", "true", f"'atrim=start=' || {num('from_sec')} || ':end=' || {num('to_sec')} || ',asetpts=PTS-STARTPTS'"),
     (101, "a", "vol", "item_no % 2 = 1", "'volume=0.5'"),
     (102, "a", "at", "speed IS NOT NULL", f"'atempo=' || {num('speed')}"),
-    (104, "a", "afo", "item_no % 3 = 1", f"'afade=t=out:st=' || {num('greatest((to_sec - from_sec) / coalesce(speed, 1.0) - 2.0, 0.0)')} || ':d=2'"),
-    (105, "a", "ar", "item_no % 7 = 0", "'areverse'"),
+    (104, "a", "af", "item_no % 3 = 1", f"'afade=t=out:st=' || {num('greatest((to_sec - from_sec) / coalesce(speed, 1.0) - 2.0, 0.0)')} || ':d=2'"),
+    (105, "a", "arev", "item_no % 7 = 0", "'areverse'"),
 ]
 ORACLE_SQL["filter_rows"] = (
     f"WITH c AS (SELECT * FROM {ITEMS} WHERE kind = 'clip'), n AS (SELECT program_id, asset, row_number() OVER (PARTITION BY program_id ORDER BY min(item_no), asset) - 1 AS input_no FROM c GROUP BY program_id, asset), "

@@ -93,7 +93,7 @@ def test_speeds_outside_one_filter_are_chained(spark):
     assert [r.seq for r in got] == list(range(len(got))) and all(r.output.lstrip("abcdefghijklmnopqrstuvwxyz") == str(r.seq) for r in got)
     first = [(r.input, r.expr, r.output) for r in got if r.clip_no == 0 and r.seq >= 4]
     assert first == [
-        ("0:a", "atrim=start=0:end=10,asetpts=PTS-STARTPTS", "ta4"), ("ta4", "volume=0.5", "vol5"), ("vol5", "atempo=0.5", "at6"), ("at6", "atempo=0.5", "at7"), ("at7", "areverse", "ar8"),
+        ("0:a", "atrim=start=0:end=10,asetpts=PTS-STARTPTS", "ta4"), ("ta4", "volume=0.5", "vol5"), ("vol5", "atempo=0.5", "at6"), ("at6", "atempo=0.5", "at7"), ("at7", "areverse", "arev8"),
     ]
 
 
