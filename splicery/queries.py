@@ -11,9 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from splicery import program_queries
 from splicery.functions import times, values
 from splicery.operators import overlays, resolve, schedule, signal
 from splicery.plans import filters
+from splicery.program_queries import num, schedule_sql
 from splicery.sources import tables
 
 FPS = 24
@@ -29,14 +31,7 @@ ITEMS = """(SELECT program_id, item_no, kind, asset, from_sec, from_sec + l_quan
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS item_no,
   CASE (l_partkey + l_suppkey + l_linenumber) % 8 WHEN 0 THEN 'transition' WHEN 1 THEN 'transition' WHEN 2 THEN 'gap' WHEN 3 THEN 'freeze' ELSE 'clip' END AS kind FROM lineitem))"""
 LENGTHS = f"(SELECT *, CASE kind WHEN 'clip' THEN (to_sec - from_sec) / coalesce(speed, 1.0) ELSE duration_sec END AS length_sec FROM {ITEMS})"
-SCHEDULE = f"""(WITH s1 AS (SELECT *, coalesce(sum((kind = 'clip')::INT) OVER (PARTITION BY program_id ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM {LENGTHS}),
- s2 AS (SELECT *, CASE WHEN kind = 'clip' THEN last_value(CASE WHEN kind = 'transition' THEN length_sec END IGNORE NULLS) OVER (PARTITION BY program_id, grp ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS pending FROM s1),
- s3 AS (SELECT *, min(CASE WHEN kind IN ('gap', 'freeze') OR (kind = 'clip' AND pending IS NULL) THEN item_no END) OVER (PARTITION BY program_id) AS f FROM s2),
- s4 AS (SELECT *, CASE WHEN kind = 'clip' AND pending IS NOT NULL THEN CASE WHEN f IS NULL OR item_no < f THEN 'drop' ELSE 'merge' END ELSE 'push' END AS action FROM s3 WHERE kind <> 'transition'),
- s5 AS (SELECT *, coalesce(sum(CASE action WHEN 'push' THEN length_sec WHEN 'merge' THEN length_sec - pending ELSE 0 END) OVER (PARTITION BY program_id ORDER BY item_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS so_far,
-  sum((action = 'push')::INT) OVER (PARTITION BY program_id ORDER BY item_no)::BIGINT - 1 AS seg FROM s4)
- SELECT program_id, item_no, kind, asset, from_sec, to_sec, speed, length_sec, pending, action, CASE WHEN action = 'merge' THEN greatest(so_far - pending, 0.0) END AS offset_sec,
-  CASE action WHEN 'push' THEN so_far WHEN 'merge' THEN greatest(so_far - pending, 0.0) END AS start_sec, CASE WHEN action <> 'drop' THEN seg END AS segment_no FROM s5)"""
+SCHEDULE = schedule_sql(LENGTHS)
 
 
 def query(sql: str | None = None):
@@ -522,10 +517,6 @@ def filter_rows(spark, sf_dir):
     return filters.filter_rows(_clips(spark, sf_dir), F.lit(1280), F.lit(720))
 
 
-def num(x: str) -> str:
-    return f"(CASE WHEN {x} = floor({x}) THEN floor({x})::BIGINT::VARCHAR ELSE {x}::VARCHAR END)"
-
-
 _STEPS = [
     (0, "v", "tv", "true", f"'trim=start=' || {num('from_sec')} || ':end=' || {num('to_sec')} || ',setpts=PTS-STARTPTS'"),
     (3, "v", "fl", "item_no % 4 = 0", "'hflip,vflip'"),
@@ -598,6 +589,10 @@ def error_render(spark, sf_dir):
     return inline(spark, ERRORS).select(F.concat(F.lit("error: "), "message", F.coalesce(place, F.lit("")), F.coalesce(F.concat(F.lit("\n  = hint: "), "hint"), F.lit(""))).alias("report"))
 
 
+QUERIES |= program_queries.QUERIES
+ORACLE_SQL |= program_queries.ORACLE_SQL
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clip, transition of a second, clip, over two assets: trimmed, placed, cross-faded, one value a frame."""
     return xfade_blend(spark, sf_dir)
