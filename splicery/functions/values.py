@@ -76,6 +76,12 @@ def range_rules(spark: SparkSession) -> DataFrame:
     return _table(spark, rows, "key string, low double, high double, low_open boolean")
 
 
+def item_rules(spark: SparkSession) -> DataFrame:
+    """(kind, key, low, high, low_open): the rules of clips, and those of images."""
+    clips = range_rules(spark).select(F.lit("clip").alias("kind"), "key", "low", "high", "low_open")
+    return clips.unionByName(_table(spark, [("image", "scale", 0.0, 10.0, False), ("image", "opacity", 0.0, 1.0, False)], "kind string, key string, low double, high double, low_open boolean"))
+
+
 def violation(value, low, high, low_open):
     """True where a value is outside its rule."""
     return F.coalesce(F.when(low_open, value <= low).otherwise(value < low), F.lit(False)) | F.coalesce(value > high, F.lit(False))

@@ -7,11 +7,13 @@ numbers labels by running sums over rows, where the library works on arrays insi
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from splicery.functions import values
-from splicery.operators import resolve
+from splicery.operators import checks, resolve
 from splicery.plans import filters, graph
 from splicery.sources import tables
 
@@ -249,8 +251,73 @@ def program_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("program_id", filters.command_text(F.coalesce("inputs", F.array().cast("array<string>")), F.when(F.col("graph") != "", F.col("graph")), F.col("maps"), F.col("args")).alias("command"))
 
 
-QUERIES = {"program_graph": program_graph, "program_command": program_command}
+# -- errors and warnings ----------------------------------------------------------------------
+
+_KEYS = ["reverse", "chromakey", "flip", "volume", "speed", "scale", "opacity", "from", "to", "other"]
+#: (key, tag, text, value) of a line item's two attributes, from p.
+_PARTS = {
+    "key": "element_at(array(" + ", ".join(f"'{k}'" for k in _KEYS) + "), CAST((p + ord * 3) % 10 AS INT) + 1)",
+    "tag": "element_at(array('float', 'int', 'string', 'bool', 'color', 'float', 'float'), CAST((p * 3 + ord) % 7 AS INT) + 1)",
+    "text": "element_at(array('both', 'true', 'upside', 'AA00BB'), CAST((p + ord) % 4 AS INT) + 1)",
+    "value": _d("(p % 23) / 4.0 - 1 + ord"),
+}
+_ATTRS_SQL = f"(SELECT *, {', '.join(re.sub(r'element_at[(]array[(](.*?)[)], (CAST.*)[)]$', r'list_extract([\1], \2)', e) + f' AS {k}' for k, e in _PARTS.items())} FROM {ITEMS} CROSS JOIN (SELECT unnest([0, 1])::INT AS ord))"
+_ASSETS_SQL = "(SELECT o_orderkey AS program_id, 'a' || (o_custkey % 5) AS name FROM orders UNION SELECT o_orderkey, 'a' || ((o_custkey + k) % 5) FROM orders, (SELECT unnest([1, 2, 3]) AS k))"
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = tables.table(spark, sf_dir, "orders")
+    items = programs(spark, sf_dir).filter("program_id % 11 <> 0")
+    owned = F.when(F.col("kind").isin("clip", "freeze", "image", "pip"), F.col("asset"))
+    attrs = items.withColumn("ord", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({k: F.expr(e) for k, e in _PARTS.items()})
+    assets = orders.select(F.col("o_orderkey").alias("program_id"), F.explode(F.array(*[F.concat(F.lit("a"), ((F.col("o_custkey") + k) % 5).cast("string")) for k in range(4)])).alias("name"))
+    every = orders.select(F.col("o_orderkey").alias("program_id"))
+    return checks.program_errors(every, every.filter("program_id % 13 <> 0"), items.withColumn("asset", owned), attrs, assets, values.item_rules(spark))
+
+
+def program_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir)
+
+
+def first_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.first_errors(_checked(spark, sf_dir))
+
+
+_ERRORS = f"""
+WITH a AS (SELECT * FROM {_ATTRS_SQL} WHERE program_id % 11 <> 0), e AS (
+  SELECT o_orderkey AS program_id, 1 AS stage, -1 AS item_no, -1 AS ord, 'no_project' AS error FROM orders WHERE o_orderkey % 13 = 0
+  UNION ALL SELECT o_orderkey, 2, -1, -1, 'no_timeline' FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+  UNION ALL SELECT program_id, 6, item_no, -1, 'undefined_asset' FROM {ITEMS} i WHERE program_id % 11 <> 0 AND kind IN ('clip', 'freeze', 'image', 'pip') AND (program_id, asset) NOT IN (SELECT (program_id, name) FROM {_ASSETS_SQL})
+  UNION ALL SELECT program_id, 6, item_no, ord, CASE
+    WHEN kind = 'clip' AND key = 'reverse' AND tag <> 'bool' THEN 'type_mismatch' WHEN kind = 'clip' AND key = 'chromakey' AND tag NOT IN ('string', 'color') THEN 'type_mismatch'
+    WHEN kind = 'clip' AND key = 'flip' AND tag = 'string' AND text NOT IN ('horizontal', 'vertical', 'both') THEN 'invalid_value'
+    WHEN ((kind = 'clip' AND key IN ('volume', 'speed', 'opacity')) OR (kind = 'image' AND key IN ('scale', 'opacity'))) THEN CASE WHEN tag NOT IN ('int', 'float') THEN 'type_mismatch'
+      WHEN key = 'speed' AND (value <= 0 OR value > 100) OR key = 'scale' AND (value < 0 OR value > 10) OR key IN ('volume', 'opacity') AND (value < 0 OR value > 1) THEN 'invalid_value' END END AS error FROM a WHERE error IS NOT NULL
+  UNION ALL SELECT program_id, 6, item_no, max(ord) + 1000, 'invalid_time_range' FROM a WHERE kind = 'clip' AND key IN ('from', 'to') GROUP BY program_id, item_no
+    HAVING arg_max(value, ord) FILTER (key = 'from') >= arg_max(value, ord) FILTER (key = 'to')
+)
+"""
+
+
+def program_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings of the programs' items: assets a3 and a4 have no probe, "/f/a.ttf" no file."""
+    probe = spark.createDataFrame([("a0",), ("a1",), ("a2",)], "asset string")
+    fonts = tables.match_fonts(spark.createDataFrame([("Arial",), ("/f/a.ttf",)], "family string"), spark.createDataFrame([("/x/arial.ttf",)], "path string"))
+    items = graph.with_defaults(programs(spark, sf_dir))
+    return checks.warnings(items.withColumn("asset", F.when(F.col("kind").isin("clip", "freeze", "image", "pip"), F.col("asset"))), probe, fonts)
+
+
+def item_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind's defaults: clips keep what is not set null."""
+    return graph.with_defaults(programs(spark, sf_dir)).select("program_id", "item_no", "kind", "at_sec", "duration_sec", "speed", "font", "size", "color", "position", "scale", "transition")
+
+
+QUERIES = {"program_graph": program_graph, "program_command": program_command, "program_errors": program_errors, "first_errors": first_errors, "program_warnings": program_warnings, "item_defaults": item_defaults}
 ORACLE_SQL = {
+    "program_errors": _ERRORS + "SELECT * FROM e",
+    "first_errors": _ERRORS + "SELECT program_id, stage, item_no, ord, error FROM (SELECT *, row_number() OVER (PARTITION BY program_id ORDER BY stage, item_no, ord) AS n FROM e) WHERE n = 1",
+    "program_warnings": f"SELECT program_id, min(item_no) AS item_no, 'no probe of ' || asset AS warning FROM {ITEMS} WHERE kind IN ('clip', 'freeze', 'image', 'pip') AND asset IN ('a3', 'a4') GROUP BY program_id, asset UNION ALL SELECT program_id, item_no, 'no font /f/a.ttf' FROM {ITEMS} WHERE font = '/f/a.ttf'",
+    "item_defaults": f"SELECT program_id, item_no, kind, at_sec, duration_sec, speed, font, size, color, position, scale, transition FROM {_DEFAULTED}",
     "program_graph": GRAPH_ROWS + "SELECT * FROM rows",
     "program_command": GRAPH_ROWS
     + f"SELECT m.program_id, 'ffmpeg -y ' || coalesce((SELECT string_agg('-i ' || asset || '.mp4', ' ' ORDER BY no) || ' ' FROM nums n WHERE n.program_id = m.program_id), '') || coalesce('-filter_complex ' || g.graph || ' ', '') || '-map ' || m.v || ' -map ' || m.a || ' -c:v libx265 -preset ' "

@@ -15,6 +15,7 @@ from splicery import program_queries
 from splicery.functions import times, values
 from splicery.operators import overlays, resolve, schedule, signal
 from splicery.plans import filters
+from splicery.plans.graph import with_defaults
 from splicery.program_queries import num, schedule_sql
 from splicery.sources import tables
 
@@ -113,7 +114,7 @@ def acrossfade_tri(spark, sf_dir):
     return _crossfade(spark, sf_dir, "view", "error")
 
 
-@query(f"SELECT a.asset, g.frame, coalesce(f.v, 0.0) AS v FROM (SELECT DISTINCT event_type AS asset FROM events) a CROSS JOIN (SELECT unnest(range(0, 720)) AS frame) g LEFT JOIN {FRAMES} f ON f.asset = a.asset AND f.frame = g.frame")
+@query(f"SELECT a.asset, g.frame, coalesce(f.v, 0.0) AS v FROM (SELECT DISTINCT event_type AS asset FROM events) a CROSS JOIN (SELECT unnest(range(0, greatest(720, (SELECT max(frame) + 1 FROM {FRAMES})))) AS frame) g LEFT JOIN {FRAMES} f ON f.asset = a.asset AND f.frame = g.frame")
 def gap_fill(spark, sf_dir):
     f = framed(spark, sf_dir)
     return signal.gap_filled(f, f.select("asset").distinct(), 0, 720)
@@ -300,7 +301,7 @@ def pip_shift(spark, sf_dir):
 
 @query(
     f"WITH l AS (SELECT conv_id, turn, role, text, length(coalesce(text, '')) AS n FROM conversations), c AS (SELECT conv_id, turn, n, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 500.0::DOUBLE AS start_sec FROM l), "
-    f"q AS (SELECT conv_id, turn, start_sec, start_sec + n / 500.0::DOUBLE AS end_sec FROM c) SELECT q.conv_id, q.turn, f.frame FROM q JOIN (SELECT unnest(range(0, 240)) AS frame) f ON f.frame / 24.0::DOUBLE BETWEEN q.start_sec AND q.end_sec"
+    f"q AS (SELECT conv_id, turn, start_sec, start_sec + n / 500.0::DOUBLE AS end_sec FROM c) SELECT q.conv_id, q.turn, f.frame FROM q JOIN (SELECT unnest(range(0, (SELECT ceil(max(end_sec) * 24)::BIGINT + 1 FROM q))) AS frame) f ON f.frame / 24.0::DOUBLE BETWEEN q.start_sec AND q.end_sec"
 )
 def subtitle_cues(spark, sf_dir):
     cues = overlays.cues_of(tables.table(spark, sf_dir, "conversations"), 500.0)
@@ -404,12 +405,9 @@ def last_attr_wins(spark, sf_dir):
     return resolve.last_values(inline(spark, ATTRS), "at", "duration", "size", value="text")
 
 
-@query(f"SELECT program_id, item_no, coalesce(duration_sec, CASE kind WHEN 'gap' THEN 1.0 WHEN 'freeze' THEN 3.0 WHEN 'transition' THEN 1.0 ELSE 5.0 END) AS duration_sec, coalesce(speed, 1.0) AS speed FROM {ITEMS}")
+@query(f"SELECT program_id, item_no, CASE kind WHEN 'gap' THEN coalesce(duration_sec, 1.0) WHEN 'freeze' THEN coalesce(duration_sec, 3.0) WHEN 'transition' THEN coalesce(duration_sec, 1.0) ELSE duration_sec END AS duration_sec, speed FROM {ITEMS}")
 def defaults_coalesce(spark, sf_dir):
-    fill = F.lit(5.0)
-    for kind in ("gap", "freeze", "transition"):
-        fill = F.when(F.col("kind") == kind, values.DEFAULTS[kind]["duration"]).otherwise(fill)
-    return tables.line_items(spark, sf_dir).select("program_id", "item_no", F.coalesce("duration_sec", fill).alias("duration_sec"), F.coalesce("speed", F.lit(1.0)).alias("speed"))
+    return with_defaults(tables.line_items(spark, sf_dir)).select("program_id", "item_no", "duration_sec", "speed")
 
 
 # -- media, inputs, outputs -------------------------------------------------------------------

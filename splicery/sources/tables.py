@@ -95,7 +95,9 @@ def match_fonts(wanted: DataFrame, fonts: DataFrame) -> DataFrame:
     files = fonts.select("path", stem.alias("stem")).filter("stem <> ''")
     family = F.lower("family")
     exact = (F.col("stem") == family) | (F.col("stem") == F.concat(family, F.lit(" regular"))) | (F.col("stem") == F.concat(family, F.lit("-regular")))
-    near = wanted.select("family").distinct().join(files, F.startswith("stem", family))
+    # A file goes to every beginning of its stem: an equality join instead of all families against all files.
+    starts = files.withColumn("start", F.explode(F.transform(F.sequence(F.lit(1), F.length("stem")), lambda n: F.left("stem", n))))
+    near = wanted.select("family").filter("family <> ''").distinct().withColumn("start", family).join(starts, "start")
     best = near.groupBy("family").agg(F.min(F.struct((~exact).alias("far"), F.length("stem").alias("n"), "path")).alias("top"))
     return wanted.join(best.select("family", F.col("top.path").alias("path")), "family", "left")
 
