@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 K = 3
 M = 24
+RUN = 64
 
 
 def _with(x: Column, f) -> Column:
@@ -68,19 +69,40 @@ def numbered_kmers(text: Column, k: int = K) -> Column:
 
 
 def parts_of(text: Column, k: int = K, m: int = M) -> Column:
-    """The M parts of a text's fingerprint; null for a text without k-mers."""
+    """The M parts of a text's fingerprint; null for a text without k-mers.
 
-    def part(v: Column, y: Column, a: Column, b: Column) -> Column:
-        place = lambda x: _with(F.array_position(y, x).cast("int") - 1, lambda p: F.coalesce(F.get(v["at"], p), p))
-        # Of a single k-mer there is no second one: a zero stands in.
-        pair = F.when(b.isNull(), F.xxhash64(a, F.lit(0))).when(place(a) < place(b), F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
-        return pair.bitwiseAND(F.lit(0xFFFFFFFF))
+    The k-mers are ranked in runs of RUN: a function's smallest of each run, then again the run of the smallest of all, in which
+    its second one may be.
+    """
+
+    def ranking(j: Column, ids: Column) -> Column:
+        return F.transform(ids, lambda x: F.xxhash64(j, x))
+
+    def part(v: Column, runs: Column, j: Column, least: Column) -> Column:
+        index = lambda xs, x: F.array_position(xs, x).cast("int") - 1
+        rest = lambda xs, x: F.array_min(F.array_remove(xs, x))
+        place = lambda run, y, x: _with(run * RUN + index(y, x), lambda p: F.coalesce(F.get(v["at"], p), p))
+
+        def pair(a: Column, b: Column, first: Column, second: Column) -> Column:
+            return F.when(first < second, F.xxhash64(a, b)).otherwise(F.xxhash64(b, a))
+
+        def chosen(a: Column, run: Column, y: Column, b: Column) -> Column:
+            there = F.when(F.array_contains(y, b), run).otherwise(index(least, b))
+            both = _with(there, lambda r: pair(a, b, place(run, y, a), place(r, ranking(j, F.get(runs, r)), b)))
+            # Of a single k-mer there is no second one: a zero stands in.
+            return F.when(b.isNull(), F.xxhash64(a, F.lit(0))).otherwise(both).bitwiseAND(F.lit(0xFFFFFFFF))
+
+        def in_run(a: Column, run: Column) -> Column:
+            return _with(ranking(j, F.get(runs, run)), lambda y: _with(F.least(rest(least, a), rest(y, a)), lambda b: chosen(a, run, y, b)))
+
+        return _with(F.array_min(least), lambda a: _with(index(least, a), lambda run: in_run(a, run)))
 
-    def selected(v: Column, j: Column) -> Column:
-        ranking = F.transform(v["ids"], lambda x: F.xxhash64(j, x))
-        return _with(ranking, lambda y: _with(F.array_min(y), lambda a: _with(F.array_min(F.array_remove(y, a)), lambda b: part(v, y, a, b))))
+    def parts(v: Column, runs: Column) -> Column:
+        least = lambda j: F.transform(runs, lambda ids: F.array_min(ranking(j, ids)))
+        return F.transform(F.sequence(F.lit(1), F.lit(m)), lambda j: _with(least(j), lambda x: part(v, runs, j, x)))
 
-    return _with(numbered_kmers(text, k), lambda v: F.when(v.isNotNull(), F.transform(F.sequence(F.lit(1), F.lit(m)), lambda j: selected(v, j))))
+    cut = lambda ids: F.transform(F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / RUN).cast("int")), lambda c: F.slice(ids, c * RUN + 1, F.lit(RUN)))
+    return _with(numbered_kmers(text, k), lambda v: F.when(v.isNotNull(), _with(cut(v["ids"]), lambda runs: parts(v, runs))))
 
 
 def _cuts_above(key: Column, cuts: list[int]) -> Column:
