@@ -60,13 +60,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def training_order(docs: DataFrame) -> DataFrame:
     """docs with the place of each row in the files that they are read from, part by part."""
     try:
-        placed = docs.select(*docs.columns, F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("_x_part"), F.col("_metadata.row_index").alias("_x_row"))
+        placed = docs.select(*docs.columns, F.col("_metadata.file_path").alias("_x_file"), F.col("_metadata.row_index").alias("_x_row"))
     except AnalysisException:  # rows that come from no file have no place
         return docs.withColumn("training_order", F.lit(None).cast("long"))
-    # One row for each written part: bounded by the number of partitions.
-    before = Window.orderBy("_x_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = placed.groupBy("_x_part").agg(F.count(F.lit(1)).alias("n")).select("_x_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_x_base"))
-    return placed.join(F.broadcast(parts), "_x_part").select(*docs.columns, (F.col("_x_base") + F.col("_x_row")).alias("training_order"))
+    # One row for each written file: bounded by the number of partitions. Files follow by the number of their part, then by name.
+    part = F.regexp_extract("_x_file", r"part-(\d+)[^/]*$", 1).try_cast("int")
+    before = Window.orderBy(part.asc_nulls_last(), "_x_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = placed.groupBy("_x_file").agg(F.count(F.lit(1)).alias("n")).select("_x_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_x_base"))
+    return placed.join(F.broadcast(files), "_x_file").select(*docs.columns, (F.col("_x_base") + F.col("_x_row")).alias("training_order"))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
