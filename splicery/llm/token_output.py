@@ -1,7 +1,7 @@
 """Token ids in patched frame-of-reference files.
 
 Texts are range-partitioned and sorted by key, so that files follow in key order. Each task encodes its
-texts and cuts its ids into segments of about SEGMENT ids, at document ends. A segment holds, in order:
+texts, PIECE characters at once, and cuts its ids into segments of SEGMENT ids or more, at document ends. A segment holds, in order:
 
     "SPF1", then as little-endian uint32: documents, ids, blocks
     length of each document, uint32
@@ -29,10 +29,11 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,11 +44,10 @@ BLOCK_IDS = 256
 PERCENTILE = 90
 SEGMENT = 1 << 17
 #: Characters that are encoded at once.
-PIECE = 1 << 19
-#: Words known to a worker before it starts anew, and the characters of one that is kept; texts with longer words are encoded directly.
-WORDS_KEPT, LONG = 500_000, 128
+PIECE = 1 << 21
+#: Words and characters of words known to a worker before it starts anew, and the length of one that is kept; texts with longer words are encoded directly.
+WORDS_KEPT, CHARS_KEPT, LONG = 1_500_000, 1 << 25, 128
 MAGIC = b"SPF1"
-_END = "\0\0"
 
 
 class Encoder:
@@ -65,7 +65,8 @@ class Encoder:
 
     def clear(self) -> None:
         """Entry 0 stands for words that need their whole text, entry 1 for the end of a text."""
-        self.known: dict[str, int] = {_END: 1}
+        self.known: dict[str, int] = {}
+        self.chars = 0
         self.ids, self.start, self.used, self.entries = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), len(self.end), 2
         self.ids[: self.used] = self.end
         self.start[2] = self.used
@@ -90,6 +91,7 @@ class Encoder:
             self._add(new, np.concatenate(found), np.array([len(x) for x in found]))
 
     def _learn(self, new: set[str]) -> None:
+        self.chars += sum(map(len, new))
         heads = [w for w in new if w[:1] == "\0"]
         inner = [w for w in new if w and w[0] != "\0" and not w[0].isspace() and not w[-1].isspace()]
         # A text may begin with a space character, but none of its words may end in one.
@@ -104,35 +106,48 @@ class Encoder:
             else:
                 self._each(inner, [f" {w}" for w in inner])
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of ids of each), with the end id after each."""
-        if self.entries > WORDS_KEPT:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each), with the end id after each; null is empty."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if self.entries > WORDS_KEPT or self.chars > CHARS_KEPT:
             self.clear()
-        parts = [f"\0{t}".split(" ") if "\0" not in t else ["\0 "] for t in texts]
-        parts = [p if max(map(len, p)) <= LONG else ["\0 "] for p in parts]
-        for p in parts:
-            p.append(_END)
-        flat = list(chain.from_iterable(parts))
-        k = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        missing = np.flatnonzero(k < 0)
+        texts = texts.cast(pa.large_string()).fill_null("")
+        words, begin = _words(texts)
+        direct = np.asarray(pc.match_substring(texts, "\0")) | (np.maximum.reduceat(np.asarray(pc.utf8_length(words)), begin[:-1]) > LONG)
+        if direct.any():
+            words, begin = _words(pc.if_else(pa.array(direct), "", texts))
+        # Python meets each distinct word once.
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(known < 0)
         if len(missing):
-            lost = [flat[i] for i in missing.tolist()]
+            lost = [names[i] for i in missing.tolist()]
             self._learn(set(lost))
-            k[missing] = np.fromiter(map(self.known.__getitem__, lost), np.int64, len(lost))
-        begin = np.cumsum([0, *map(len, parts)])
+            known[missing] = np.fromiter(map(self.known.__getitem__, lost), np.int64, len(lost))
+        k = np.insert(known[np.asarray(coded.indices)], begin[1:], 1)
+        begin = begin + np.arange(len(begin))
         at, n = self.start[k], self.start[k + 1] - self.start[k]
         ends = np.cumsum(n)
-        ids = self.ids[np.repeat(at - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
-        lengths = np.add.reduceat(n, begin[:-1]) if len(texts) else np.zeros(0, np.int64)
-        whole = np.unique(np.searchsorted(begin, np.flatnonzero(k == 0), "right") - 1).tolist()
-        if whole:
+        ids = self.ids[np.repeat(at - ends + n, n) + np.arange(ends[-1])]
+        lengths = np.add.reduceat(n, begin[:-1])
+        direct[np.searchsorted(begin, np.flatnonzero(k == 0), "right") - 1] = True
+        whole = np.flatnonzero(direct)
+        if len(whole):
             each = np.split(ids, np.cumsum(lengths)[:-1])
-            for i, x in zip(whole, self._direct([texts[i] for i in whole]), strict=True):
+            for i, x in zip(whole.tolist(), self._direct(texts.take(pa.array(whole)).to_pylist()), strict=True):
                 each[i] = np.concatenate((x, np.array(self.end, np.uint32)))
             ids, lengths = np.concatenate(each), np.array([len(x) for x in each])
         return ids, lengths
 
 
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts between spaces, a NUL before each text's first one, and where each text's begin and end."""
+    split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), texts, pa.scalar("", pa.large_string())), " ")
+    return split.flatten(), np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(split)))))
+
+
 _encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
@@ -242,18 +257,16 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int | None =
 
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
+            size = np.cumsum(np.asarray(pc.utf8_length(texts).fill_null(0)), dtype=np.int64)
             at = 0
             while at < len(names):
-                some, size = [], 0
-                while at + len(some) < len(names) and size < PIECE:
-                    some.append(texts[at + len(some)].as_py() or "")
-                    size += len(some[-1])
-                flat, sizes = encode(some)
-                keys += names[at : at + len(some)]
+                end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PIECE)))
+                flat, sizes = encode(texts.slice(at, end - at))
+                keys += names[at:end]
                 lengths += sizes.tolist()
                 ids.append(flat)
                 count += len(flat)
-                at += len(some)
+                at = end
                 if count >= SEGMENT:
                     yield segment()
                     before, seq = before + count, seq + 1

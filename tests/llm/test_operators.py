@@ -733,3 +733,18 @@ def test_a_long_text_is_scanned_in_windows(monkeypatch):
     whole = next(w.words(pa.array([text]), w.NOT_WHITE)).hash
     monkeypatch.setattr(w, "BLOCK", 1000)
     assert (next(w.words(pa.array([text]), w.NOT_WHITE)).hash == whole).all()
+
+
+def test_encoder_equals_the_library_on_odd_texts():
+    import pyarrow as pa
+    import public_tokenizers
+
+    from splicery.llm.token_output import Encoder
+
+    odd = ["", None, " ", "  a", "a  b", "a ", "\n", "a\n\nb c", "x\0y z", "\0", "é" * 300, "a " + "b" * 200 + " c", "日本語 テキスト", " \t x", "don't we'll", "\x1c a\x1cb", "a b", "a b"]
+    encode = Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    for part in (odd, odd[::-1], []):  # the second time from known words
+        ids, lengths = encode(pa.array(part, pa.string()))
+        want = [[*encode.model.encode(t or "", add_special_tokens=False).ids, 2] for t in part]
+        assert lengths.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
