@@ -10,29 +10,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def planned(items: DataFrame, *order: str, kind: str = "kind") -> DataFrame:
+    """items with pending, action, offset_sec, start_sec and segment_no, null for what produces nothing; other columns pass through.
+
+    Rows follow by `order` (item_no) inside a program. All windows have that one order: rows are shuffled and sorted once. A row that
+    takes no part has a null in `kind`.
+    """
+    sequence = Window.partitionBy("program_id").orderBy(*(order or ("item_no",)))
+    before, so_far = sequence.rowsBetween(Window.unboundedPreceding, -1), sequence.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    clip, length = F.col(kind) == "clip", F.col("length_sec")
+    # The last transition since the last clip: a clip ends the wait with an empty mark.
+    mark = F.when(clip, F.struct(F.lit(None).cast("double").alias("wait"))).when((F.col(kind) == "transition") & length.isNotNull(), F.struct(length.cast("double").alias("wait")))
+    step1 = items.withColumn("pending", F.when(clip, F.last(mark, ignorenulls=True).over(before)["wait"]))
+    waits = clip & F.col("pending").isNotNull()
+    opens = F.coalesce(F.col(kind).isin("gap", "freeze") | (clip & F.col("pending").isNull()), F.lit(False))
+    step2 = step1.withColumn("_x_opened", F.coalesce(F.bool_or(opens).over(before), F.lit(False)))
+    step3 = step2.withColumn("action", F.when(waits, F.when(F.col("_x_opened"), "merge").otherwise("drop")).when(opens, "push"))
+    delta = F.when(F.col("action") == "push", length).when(F.col("action") == "merge", length - F.col("pending")).otherwise(0.0)
+    step4 = step3.withColumns({"_x_sum": F.coalesce(F.sum(delta).over(before), F.lit(0.0)), "_x_pushed": F.sum((F.coalesce("action", F.lit("")) == "push").cast("bigint")).over(so_far) - 1})
+    offset = F.when(F.col("action") == "merge", F.greatest(F.col("_x_sum") - F.col("pending"), F.lit(0.0)))
+    start = F.when(F.col("action") == "push", F.col("_x_sum")).when(F.col("action") == "merge", offset)
+    return step4.select(*items.columns, "pending", "action", offset.alias("offset_sec"), start.alias("start_sec"), F.when(F.col("action") != "drop", F.col("_x_pushed")).alias("segment_no"))
+
+
 def schedule(items: DataFrame) -> DataFrame:
     """Producing items (clip, gap, freeze) with action, offset_sec, start_sec and segment_no.
 
     items(program_id, item_no, kind, length_sec), length_sec being a transition's duration too. A loop counts once.
     """
-    order = Window.partitionBy("program_id").orderBy("item_no")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    clip = F.col("kind") == "clip"
-    step1 = items.withColumn("grp", F.coalesce(F.sum(clip.cast("int")).over(before), F.lit(0)))
-    in_group = Window.partitionBy("program_id", "grp").orderBy("item_no").rowsBetween(Window.unboundedPreceding, -1)
-    step2 = step1.withColumn("pending", F.when(clip, F.last(F.when(F.col("kind") == "transition", F.col("length_sec")), ignorenulls=True).over(in_group)))
-    whole = Window.partitionBy("program_id")
-    producer = F.col("kind").isin("gap", "freeze") | (clip & F.col("pending").isNull())
-    step3 = step2.withColumn("first", F.min(F.when(producer, F.col("item_no"))).over(whole)).filter(F.col("kind").isin("clip", "gap", "freeze"))
-    waits = clip & F.col("pending").isNotNull()
-    action = F.when(waits & (F.col("first").isNull() | (F.col("item_no") < F.col("first"))), "drop").when(waits, "merge").otherwise("push")
-    delta = F.when(F.col("action") == "push", F.col("length_sec")).when(F.col("action") == "merge", F.col("length_sec") - F.col("pending")).otherwise(0.0)
-    step4 = step3.withColumn("action", action).withColumn("delta", delta)
-    step4 = step4.withColumn("so_far", F.coalesce(F.sum("delta").over(before), F.lit(0.0)))
-    offset = F.when(F.col("action") == "merge", F.greatest(F.col("so_far") - F.col("pending"), F.lit(0.0)))
-    pushed = F.sum((F.col("action") == "push").cast("bigint")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
-    start = F.when(F.col("action") == "push", F.col("so_far")).when(F.col("action") == "merge", offset)
-    return step4.select("program_id", "item_no", "kind", "length_sec", "pending", "action", offset.alias("offset_sec"), start.alias("start_sec"), F.when(F.col("action") != "drop", pushed).alias("segment_no"))
+    own = planned(items.select("program_id", "item_no", "kind", "length_sec")).filter("action is not null")
+    return own.select("program_id", "item_no", "kind", "length_sec", "pending", "action", "offset_sec", "start_sec", "segment_no")
 
 
 def totals(scheduled: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ORIGIN = "2024-01-01 00:00:00"
+#: Bytes of a stored table for each partition that it is dealt into by program.
+PIECE_BYTES = 8 << 20
 PROBE = "format struct<duration: string>, streams array<struct<codec_type: string, codec_name: string, width: int, height: int>>"
 
 
@@ -13,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_program(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """The table with `key` as program_id. A large one is dealt by it into pieces of PIECE_BYTES, so that a task's sorts do not grow with the table."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    rows, pieces = table(spark, sf_dir, name).withColumnRenamed(key, "program_id"), math.ceil(size / PIECE_BYTES)
+    return rows.repartition(pieces, "program_id") if pieces > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def signal(spark: SparkSession, sf_dir: str, start: float | None = None, end: float | None = None) -> DataFrame:
     """events as samples (asset, event_id, user_id, t, v): a day is a second. Bounds go to the scan as literals on ts."""
     rows = table(spark, sf_dir, "events")
@@ -35,10 +47,10 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A program for each order: its line items, in order, are clips, transitions, gaps and freezes of a video track."""
     k = (F.col("l_partkey") + F.col("l_suppkey") + F.col("l_linenumber")) % 8
     kind = F.when(k < 2, "transition").when(k == 2, "gap").when(k == 3, "freeze").otherwise("clip")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    order = Window.partitionBy("program_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     start = (F.col("l_partkey") % 20) / 2.0
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("program_id"),
+    return by_program(spark, sf_dir, "lineitem", "l_orderkey").select(
+        "program_id",
         F.row_number().over(order).cast("bigint").alias("item_no"),
         kind.alias("kind"),
         F.concat(F.lit("a"), (F.col("l_suppkey") % 5).cast("string")).alias("asset"),

@@ -48,6 +48,29 @@ def test_schedule_equals_the_fold(spark):
     assert found == {p: fold(items) for p, items in programs.items()}
 
 
+def nodes(frame, name):
+    """How many operators of that name the physical plan holds."""
+    return sum(line.lstrip(" :+-*(0123456789)").startswith(f"{name} ") for line in frame._jdf.queryExecution().executedPlan().toString().splitlines())
+
+
+def test_schedule_is_shuffled_once_and_sorted_twice(spark):
+    for name in ("schedule_offsets", "program_totals"):
+        made = timeline.QUERIES[name](spark, SMALL)
+        assert (nodes(made, "Exchange"), nodes(made, "Sort")) == (1, 2)
+
+
+def test_scheduled_assets_reads_its_lines_once(spark):
+    made = timeline.QUERIES["scheduled_assets"](spark, SMALL)
+    assert (nodes(made, "FileScan"), nodes(made, "SortMergeJoin") + nodes(made, "BroadcastHashJoin")) == (1, 0)
+
+
+def test_large_tables_are_dealt_into_pieces_of_their_size(spark, monkeypatch):
+    parts = lambda: tables.by_program(spark, SMALL, "lineitem", "l_orderkey").rdd.getNumPartitions()
+    whole = parts()
+    monkeypatch.setattr(tables, "PIECE_BYTES", 1 << 12)
+    assert whole < 8 and parts() == -(-Path(SMALL, "lineitem.parquet").stat().st_size // (1 << 12))
+
+
 @pytest.mark.parametrize(
     ("items", "offsets", "total"),
     [
