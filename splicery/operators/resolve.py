@@ -68,6 +68,18 @@ def input_numbers(uses: DataFrame) -> DataFrame:
     return first.select("program_id", "asset", (F.row_number().over(Window.partitionBy("program_id").orderBy("first", "asset")) - 1).cast("bigint").alias("input_no"))
 
 
+def with_input_numbers(items: DataFrame) -> DataFrame:
+    """items with input_no as input_numbers() gives it, null where no use names the asset: rows stay with their program, without a join.
+
+    items(program_id, asset, kind_rank, item_no); rows without a kind_rank are no uses.
+    """
+    use = F.when(F.col("kind_rank").isNotNull(), F.struct("kind_rank", "item_no"))
+    rows = items.withColumn("_x_first", F.min(use).over(Window.partitionBy("program_id", "asset")))
+    number = F.dense_rank().over(Window.partitionBy("program_id").orderBy(F.col("_x_first").asc_nulls_last(), "asset"))
+    known = F.col("_x_first").isNotNull() & F.col("asset").isNotNull()
+    return rows.withColumn("_x_number", number).select(*items.columns, F.when(known, (F.col("_x_number") - 1).cast("bigint")).alias("input_no"))
+
+
 def merged_fragments(fragments: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, fragment) that a root's includes reach, however long the chain; a fragment that is reached again is skipped.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,25 +53,30 @@ def zoompan(width: Column, height: Column) -> Column:
     return F.concat(F.lit("zoompan=z='"), ramp, F.lit("':x='"), focus("iw", "pan_x"), F.lit("':y='"), focus("ih", "pan_y"), F.lit("':d=1:s="), size, F.lit(":fps="), F.col("fps").cast("string"))
 
 
+def having(name: str, expr: Column) -> Column:
+    """The expression where the column is set; elsewhere nothing of it is evaluated."""
+    return F.when(F.col(name).isNotNull(), expr)
+
+
 def effect_steps(width: Column, height: Column) -> list[tuple[str, Column]]:
     """(prefix, expression) of a clip's picture effects, in their fixed order; null where the clip has none."""
-    text = lambda name, c: F.concat(F.lit(name), number_text(F.col(c)))
+    text = lambda name, c: having(c, F.concat(F.lit(name), number_text(F.col(c))))
     eq = F.concat_ws(":", *[F.concat(F.lit(f"{c}="), number_text(F.col(c))) for c in ("brightness", "contrast", "saturation")])
     radius = F.least(F.greatest(F.col("blur") / 5, F.lit(1.0)), F.lit(20.0)).cast("int").cast("string")
     turn = number_text(rotate_radians(F.col("rotate")))
     true = lambda c, what: F.when(F.col(c), F.lit(what))
     return [
         ("cr", F.when(F.col("crop").isNotNull(), crop_filter(F.col("crop")))),
-        ("rot", F.concat(F.lit("rotate="), turn, F.lit(":fillcolor=black@0:ow=rotw("), turn, F.lit("):oh=roth("), turn, F.lit(")"))),
+        ("rot", having("rotate", F.concat(F.lit("rotate="), turn, F.lit(":fillcolor=black@0:ow=rotw("), turn, F.lit("):oh=roth("), turn, F.lit(")")))),
         ("fl", flip_text(F.col("flip"))),
         ("sc", F.concat(F.lit("scale="), width.cast("string"), F.lit(":"), height.cast("string"))),
-        ("zp", zoompan(width, height)),
+        ("zp", having("zoom", zoompan(width, height))),
         ("spd", text("setpts=PTS/", "speed")),
-        ("eq", F.when(eq != "", F.concat(F.lit("eq="), eq))),
+        ("eq", F.when(F.coalesce("brightness", "contrast", "saturation").isNotNull(), F.concat(F.lit("eq="), eq))),
         ("bl", F.when(F.col("blur").isNotNull(), F.concat(F.lit("boxblur="), radius, F.lit(":"), radius))),
-        ("shp", F.concat(F.lit("unsharp=5:5:"), number_text(F.col("sharpen")), F.lit(":5:5:0"))),
-        ("vig", F.concat(F.lit("vignette=angle="), number_text(vignette_angle(F.col("vignette"))))),
-        ("grn", F.concat(F.lit("noise=alls="), (F.col("grain") * 100).cast("int").cast("string"), F.lit(":allf=t"))),
+        ("shp", having("sharpen", F.concat(F.lit("unsharp=5:5:"), number_text(F.col("sharpen")), F.lit(":5:5:0")))),
+        ("vig", having("vignette", F.concat(F.lit("vignette=angle="), number_text(vignette_angle(F.col("vignette")))))),
+        ("grn", having("grain", F.concat(F.lit("noise=alls="), (F.col("grain") * 100).cast("int").cast("string"), F.lit(":allf=t")))),
         ("opc", F.when(F.col("opacity") < 1, text("format=rgba,colorchannelmixer=aa=", "opacity"))),
         ("rev", true("reverse", "reverse")),
         # A key given as #hex uses up two label numbers: the first belongs to no filter.
@@ -89,40 +96,66 @@ def tempo_texts(speed: Column) -> Column:
 
 def sound_steps() -> list[tuple[str, Column]]:
     """(prefix, expression) of a clip's sound, in their fixed order; an array is a filter for each entry."""
-    text = lambda name, c: F.concat(F.lit(name), number_text(F.col(c)))
+    text = lambda name, c: having(c, F.concat(F.lit(name), number_text(F.col(c))))
     start = F.greatest(F.col("estimate_sec") - F.col("fade_out"), F.lit(0.0))
     return [
         ("vol", text("volume=", "volume")),
-        ("at", tempo_texts(F.col("speed"))),
-        ("af", F.concat(F.lit("afade=t=in:st=0:d="), number_text(F.col("fade_in")))),
-        ("af", F.concat(F.lit("afade=t=out:st="), number_text(start), F.lit(":d="), number_text(F.col("fade_out")))),
+        ("at", having("speed", tempo_texts(F.col("speed")))),
+        ("af", having("fade_in", F.concat(F.lit("afade=t=in:st=0:d="), number_text(F.col("fade_in"))))),
+        ("af", having("fade_out", F.concat(F.lit("afade=t=out:st="), number_text(start), F.lit(":d="), number_text(F.col("fade_out"))))),
         ("arev", F.when(F.col("reverse"), F.lit("areverse"))),
         ("ln", F.when(F.col("normalize"), F.lit("loudnorm"))),
     ]
 
 
+def step_list(pairs: list[tuple[str, Column]]) -> Column:
+    """array<struct<prefix, expr>> of all steps, their expr null where an item does not have them; an empty one only uses up a label's number."""
+    kind = "array<struct<prefix:string,expr:string>>"
+    step = lambda p, e: F.struct(F.lit(p).alias("prefix"), e.alias("expr"))
+    runs = []
+    # The tempo filters of a speed are an array; the steps before and after them are one array each.
+    for tempo, run in groupby(pairs, lambda x: x[0] == "at"):
+        runs += [F.coalesce(F.transform(e, lambda x: step("at", x)), F.array().cast(kind)) for _, e in run] if tempo else [F.array(*[step(p, e) for p, e in run])]
+    return F.concat(*runs) if len(runs) > 1 else runs[0]
+
+
+def present(name: str) -> Column:
+    """The steps of the column `name` that an item has.
+
+    The column is named twice, which keeps its texts in a projection of their own: Spark compiles that, but not what a lambda function reads.
+    """
+    return F.when(F.size(name) > 0, F.filter(name, lambda s: s["expr"].isNotNull())).otherwise(F.col(name))
+
+
 def filter_rows(clips: DataFrame, width: Column, height: Column) -> DataFrame:
     """(program_id, seq, clip_no, input, expr, output) of every clip's chain, trim first.
 
-    A label is its filter's prefix with the number of labels before it in the program. Each filter reads the one before it in
-    its clip's chain; the first reads the clip's input.
+    A label is its filter's prefix with the number of labels before it in the program: a prefix sum over clips plus the place in the
+    clip's own array. Each filter reads the one before it in its clip's chain; the first reads the clip's input.
     """
-
-    def chain(kind: str, rank: int, steps: list[tuple[str, Column]], head: Column, stream: str) -> Column:
-        def rows(i: int, prefix: str, exprs: Column) -> Column:
-            source = F.concat(F.col("input_no").cast("string"), F.lit(stream)).alias("source")
-            return F.transform(exprs, lambda e, part: F.struct(F.lit(rank + i).alias("step"), part.alias("part"), F.lit(kind).alias("kind"), F.lit(prefix).alias("prefix"), e.alias("expr"), source))
-
-        return F.concat(*[rows(i, p, e if p == "at" else F.array(e)) for i, (p, e) in enumerate([(kind, head), *steps])])
-
-    video = chain("tv", 0, effect_steps(width, height), trim_text("trim", F.col("from_sec"), F.col("to_sec")), ":v")
-    sound = chain("ta", 100, sound_steps(), trim_text("atrim", F.col("from_sec"), F.col("to_sec")), ":a")
-    steps = clips.select("program_id", F.col("item_no").alias("clip_no"), F.explode(F.filter(F.concat(video, sound), lambda s: s["expr"].isNotNull())).alias("s"))
-    whole = Window.partitionBy("program_id").orderBy("clip_no", "s.step", "s.part")
-    numbered = steps.withColumn("seq", (F.row_number().over(whole) - 1).cast("bigint"))
-    labelled = numbered.withColumn("output", F.concat("s.prefix", F.col("seq").cast("string"))).filter(F.col("s.expr") != "")
-    previous = F.lag("output").over(Window.partitionBy("program_id", "clip_no", "s.kind").orderBy("seq"))
-    return labelled.select("program_id", "seq", "clip_no", F.coalesce(previous, F.col("s.source")).alias("input"), F.col("s.expr").alias("expr"), "output")
+    video = step_list([("tv", trim_text("trim", F.col("from_sec"), F.col("to_sec"))), *effect_steps(width, height)])
+    sound = step_list([("ta", trim_text("atrim", F.col("from_sec"), F.col("to_sec"))), *sound_steps()])
+    # Clips are brought into order while their rows are narrow.
+    chains = clips.sortWithinPartitions("program_id", "item_no").select("program_id", F.col("item_no").alias("clip_no"), "input_no", video.alias("v"), sound.alias("a"))
+    chains = chains.withColumns({c: present(c) for c in ("v", "a")})
+    before = Window.partitionBy("program_id").orderBy("clip_no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = chains.withColumn("base", F.coalesce(F.sum(F.size("v") + F.size("a")).over(before), F.lit(0)))
+
+    def linked(xs: Column, start: Column, stream: str) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            # A number without a filter is passed over.
+            j = F.when(F.get(xs, i - 1)["expr"] == "", i - 2).otherwise(i - 1)
+            return F.struct((start + i).alias("n"), s["prefix"].alias("prefix"), s["expr"].alias("expr"), F.get(xs, j)["prefix"].alias("before"), (start + j).alias("m"), F.lit(stream).alias("stream"))
+
+        return F.transform(xs, one)
+
+    both = F.concat(linked(F.col("v"), F.lit(0), ":v"), linked(F.col("a"), F.size("v"), ":a"))
+    rows = placed.select("program_id", "clip_no", "input_no", "base", F.explode(both).alias("s")).filter(F.col("s.expr") != "")
+    label = lambda p, n: F.concat(F.col(p), (F.col("base") + F.col(n)).cast("string"))
+    source = F.concat(F.col("input_no").cast("string"), F.col("s.stream"))
+    return rows.select(
+        "program_id", (F.col("base") + F.col("s.n")).cast("bigint").alias("seq"), "clip_no", F.coalesce(label("s.before", "s.m"), source).alias("input"), F.col("s.expr").alias("expr"), label("s.prefix", "s.n").alias("output")
+    )
 
 
 def rendered(rows: DataFrame) -> DataFrame:

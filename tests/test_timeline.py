@@ -64,6 +64,20 @@ def test_scheduled_assets_reads_its_lines_once(spark):
     assert (nodes(made, "FileScan"), nodes(made, "SortMergeJoin") + nodes(made, "BroadcastHashJoin")) == (1, 0)
 
 
+def test_filter_rows_shuffle_narrow_lines_once(spark):
+    for name in ("filter_rows", "filter_graph_render"):
+        made = timeline.QUERIES[name](spark, SMALL)
+        assert [nodes(made, n) for n in ("Exchange", "FileScan", "SortMergeJoin", "BroadcastHashJoin")] == [1, 1, 0, 0]
+
+
+def test_input_numbers_in_place_equal_the_joined_ones(spark):
+    rng = random.Random(8)
+    rows = [(p, i, rng.choice(["a", "b", "c", "d", None]), rng.choice([0, 1, 3, None])) for p in range(60) for i in range(rng.randint(1, 12))]
+    uses = spark.createDataFrame(rows, "program_id int, item_no int, asset string, kind_rank int")
+    joined = uses.join(resolve.input_numbers(uses.filter("kind_rank is not null")), ["program_id", "asset"], "left").select(*uses.columns, "input_no")
+    assert sorted(resolve.with_input_numbers(uses).collect(), key=str) == sorted(joined.collect(), key=str)
+
+
 def test_large_tables_are_dealt_into_pieces_of_their_size(spark, monkeypatch):
     parts = lambda: tables.by_program(spark, SMALL, "lineitem", "l_orderkey").rdd.getNumPartitions()
     whole = parts()
