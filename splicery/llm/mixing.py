@@ -107,6 +107,12 @@ def position(done, slope):
     return F.try_divide(2 * done, b + F.sqrt(b * b + 4 * slope * done))
 
 
+def in_training_order(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """mix()'s documents range-sorted by the position of their first use; those without a use come last."""
+    order = [F.col("first_position").asc_nulls_last(), F.col(key).asc_nulls_last()]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)
+
+
 def mixed_stream(mixed: DataFrame, docs_columns: list[str], text: str = "text", key: str = "doc_id", whole: bool = False) -> DataFrame:
     """One row for each use, in training order: range-sorted by position. A use of fewer words has the text's first ones.
 

@@ -69,10 +69,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from splicery.llm.mixing import mix
+    from splicery.llm.mixing import in_training_order, mix
 
     out = mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position")
+    return in_training_order(out.select("doc_id", "size", "source_size", "target", "taken", "first_position", "last_position"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

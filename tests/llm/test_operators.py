@@ -260,6 +260,14 @@ def test_curriculum_moves_the_heavy_sources_forward(spark):
     assert mean("a") < 0.47 and mean("b") > 0.5
 
 
+def test_op9_comes_in_training_order(spark):
+    from splicery.llm.queries import op9_mixing
+
+    got = [r.first_position for r in op9_mixing(spark, "/root/testdata/sf0.001").collect()]
+    used = [x for x in got if x is not None]
+    assert used and used == sorted(used) and got[: len(used)] == used
+
+
 def test_curriculum_follows_its_integrals(spark):
     """Of a source's words those placed before t are the integral of its schedule, up to a document; a flat schedule gives other positions."""
     from splicery.llm.mixing import SLOPES, mix
