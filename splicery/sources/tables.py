@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 ORIGIN = "2024-01-01 00:00:00"
 #: Bytes of a stored table for each partition that it is dealt into by program.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 2 << 20
 PROBE = "format struct<duration: string>, streams array<struct<codec_type: string, codec_name: string, width: int, height: int>>"
 
 
@@ -18,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def by_program(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """The table with `key` as program_id. A large one is dealt by it into pieces of PIECE_BYTES, so that a task's sorts do not grow with the table."""
+    """The table with `key` as program_id. One of more pieces of PIECE_BYTES than cores is dealt by it into these pieces.
+
+    A task's sorts then do not grow with the table. Left to itself, an adaptive plan merges partitions up to its own size.
+    """
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
     size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     rows, pieces = table(spark, sf_dir, name).withColumnRenamed(key, "program_id"), math.ceil(size / PIECE_BYTES)
-    return rows.repartition(pieces, "program_id") if pieces > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows
+    return rows.repartition(pieces, "program_id") if pieces > spark.sparkContext.defaultParallelism else rows
 
 
 def signal(spark: SparkSession, sf_dir: str, start: float | None = None, end: float | None = None) -> DataFrame:

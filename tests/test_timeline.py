@@ -85,6 +85,17 @@ def test_large_tables_are_dealt_into_pieces_of_their_size(spark, monkeypatch):
     assert whole < 8 and parts() == -(-Path(SMALL, "lineitem.parquet").stat().st_size // (1 << 12))
 
 
+def test_many_shuffle_partitions_do_not_merge_the_pieces_of_a_table(spark, monkeypatch):
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(tables, "PIECE_BYTES", 1 << 13)
+    pieces = -(-Path(SMALL, "lineitem.parquet").stat().st_size // (1 << 13))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert 4 < pieces < 200 and timeline.QUERIES["program_totals"](spark, SMALL).rdd.getNumPartitions() == pieces
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 @pytest.mark.parametrize(
     ("items", "offsets", "total"),
     [
