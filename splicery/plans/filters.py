@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import groupby
+from operator import add
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,54 +111,133 @@ def sound_steps() -> list[tuple[str, Column]]:
     ]
 
 
-def step_list(pairs: list[tuple[str, Column]]) -> Column:
-    """array<struct<prefix, expr>> of all steps, their expr null where an item does not have them; an empty one only uses up a label's number."""
-    kind = "array<struct<prefix:string,expr:string>>"
-    step = lambda p, e: F.struct(F.lit(p).alias("prefix"), e.alias("expr"))
-    runs = []
-    # The tempo filters of a speed are an array; the steps before and after them are one array each.
-    for tempo, run in groupby(pairs, lambda x: x[0] == "at"):
-        runs += [F.coalesce(F.transform(e, lambda x: step("at", x)), F.array().cast(kind)) for _, e in run] if tempo else [F.array(*[step(p, e) for p, e in run])]
-    return F.concat(*runs) if len(runs) > 1 else runs[0]
+FILTERS = "array<struct<at:bigint,inputs:array<string>,expr:string,outputs:array<string>>>"
 
 
-def present(name: str) -> Column:
-    """The steps of the column `name` that an item has.
+class Link(NamedTuple):
+    """A filter as columns; expr is null where an item does not have it. A single input that is null is none.
 
-    The column is named twice, which keeps its texts in a projection of their own: Spark compiles that, but not what a lambda function reads.
+    `many`: expr is an array of filters, one after another, labelled "at".
     """
-    return F.when(F.size(name) > 0, F.filter(name, lambda s: s["expr"].isNotNull())).otherwise(F.col(name))
 
+    at: Column
+    inputs: list[Column] | Column
+    expr: Column
+    outputs: list[Column]
+    many: bool = False
 
-def filter_rows(clips: DataFrame, width: Column, height: Column) -> DataFrame:
-    """(program_id, seq, clip_no, input, expr, output) of every clip's chain, trim first.
+    def row(self) -> Column:
+        """struct(at, inputs, expr, outputs), or null."""
+        none = F.array().cast("array<string>")
+        ins = F.array(*self.inputs) if isinstance(self.inputs, list) and self.inputs else none if isinstance(self.inputs, list) else self.inputs
+        if isinstance(self.inputs, list) and len(self.inputs) == 1:
+            ins = F.when(self.inputs[0].isNull(), none).otherwise(ins)
+        made = F.struct(self.at.cast("bigint").alias("at"), ins.alias("inputs"), self.expr.alias("expr"), (F.array(*self.outputs) if self.outputs else none).alias("outputs"))
+        return F.when(self.expr.isNotNull(), made)
+
+    def text(self) -> Column:
+        """[inputs]expr[outputs], or null."""
+        pad = lambda x: F.concat(F.lit("["), x, F.lit("]"))
+        ins = [F.coalesce(pad(x), F.lit("")) for x in self.inputs] if isinstance(self.inputs, list) else [pad(F.array_join(self.inputs, "]["))]
+        return F.concat(*ins, self.expr, *map(pad, self.outputs))
+
+    def each(self, made) -> Column:
+        """made(filter) of the filters of an array."""
+        before = lambda i: F.when(i == 0, self.inputs[0]).otherwise(label("at", self.at + i - 1))
+        return F.transform(self.expr, lambda x, i: made(Link(self.at + i, [before(i)], x, [label("at", self.at + i)])))
+
+
+def label(prefix: str, n: Column) -> Column:
+    return F.concat(F.lit(prefix), n.cast("string"))
+
+
+def link_rows(links: list[Link]) -> Column:
+    """FILTERS of the links in order, null for those that an item does not have."""
+    runs = []
+    for many, run in groupby(links, lambda x: x.many):
+        runs += [F.coalesce(x.each(Link.row), F.array().cast(FILTERS)) for x in run] if many else [F.array(*[x.row() for x in run])]
+    return F.concat(*runs)
+
+
+def link_text(links: list[Link]) -> Column:
+    """The links' texts in order, joined by ;."""
+    return F.concat_ws(";", *[F.array_join(x.each(Link.text), ";") if x.many else x.text() for x in links])
 
-    A label is its filter's prefix with the number of labels before it in the program: a prefix sum over clips plus the place in the
-    clip's own array. Each filter reads the one before it in its clip's chain; the first reads the clip's input.
+
+class Chain:
+    """The steps of a chain as columns of an item's row: a text for each, null where the item does not have it.
+
+    `texts` become columns first, then `labels`, and links() reads both: each is a projection of its own, so that no text is built twice,
+    and none of them is inside a lambda function, which Spark does not compile. A label is its filter's prefix with the number of labels
+    before it. A step without a prefix only uses up a number; the step "at" is an array.
     """
-    video = step_list([("tv", trim_text("trim", F.col("from_sec"), F.col("to_sec"))), *effect_steps(width, height)])
-    sound = step_list([("ta", trim_text("atrim", F.col("from_sec"), F.col("to_sec"))), *sound_steps()])
+
+    def __init__(self, name: str, steps: list[tuple[str, Column]]):
+        self.slots = [(prefix, f"_{name}{i}") for i, (prefix, _) in enumerate(steps)]
+        self.texts = {c: e for (_, c), (_, e) in zip(self.slots, steps)}
+
+    @staticmethod
+    def _uses(prefix: str, c: str) -> Column:
+        return F.when(F.col(c).isNull(), 0).otherwise(F.size(c) if prefix == "at" else F.lit(1))
+
+    def count(self, unused: bool = True) -> Column:
+        """Labels that the chain uses up, or without the unused ones its filters."""
+        return reduce(add, [self._uses(p, c) for p, c in self.slots if p or unused])
+
+    def end(self, base: Column, count: Column) -> Column:
+        """Label of the last of `count` labels."""
+        last = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(p)) for p, c in reversed(self.slots) if p])
+        return F.concat(last, (base + count - 1).cast("string"))
+
+    def labels(self, base: Column) -> dict[str, Column]:
+        """The label of each step, of an array its last one."""
+        made, n = {}, base
+        for prefix, c in self.slots:
+            n = n + self._uses(prefix, c)
+            if prefix:
+                made[f"{c}_label"] = F.when(F.col(c).isNotNull(), label(prefix, n - 1))
+        return made
+
+    def links(self, base: Column, source: Column) -> list[Link]:
+        """The filters in order: each reads the one before it, the first one `source`."""
+        made, read, n = [], [source], base
+        for prefix, c in self.slots:
+            if prefix:
+                made.append(Link(n, [F.coalesce(*read)], F.col(c), [F.col(f"{c}_label")], prefix == "at"))
+                read.insert(0, F.col(f"{c}_label"))
+            n = n + self._uses(prefix, c)
+        return made
+
+
+def _linked(clips: DataFrame, width: Column, height: Column) -> tuple[DataFrame, list[Link]]:
+    """A row for each clip, and the links of its chain, trim first.
+
+    The number of labels before a clip is a prefix sum over a program's clips. The first filter of a stream reads the clip's input.
+    """
+    video = Chain("v", [("tv", trim_text("trim", F.col("from_sec"), F.col("to_sec"))), *effect_steps(width, height)])
+    sound = Chain("a", [("ta", trim_text("atrim", F.col("from_sec"), F.col("to_sec"))), *sound_steps()])
     # Clips are brought into order while their rows are narrow.
-    chains = clips.sortWithinPartitions("program_id", "item_no").select("program_id", F.col("item_no").alias("clip_no"), "input_no", video.alias("v"), sound.alias("a"))
-    chains = chains.withColumns({c: present(c) for c in ("v", "a")})
+    chains = clips.sortWithinPartitions("program_id", "item_no").select("program_id", F.col("item_no").alias("clip_no"), "input_no", *[e.alias(c) for c, e in (video.texts | sound.texts).items()])
     before = Window.partitionBy("program_id").orderBy("clip_no").rowsBetween(Window.unboundedPreceding, -1)
-    placed = chains.withColumn("base", F.coalesce(F.sum(F.size("v") + F.size("a")).over(before), F.lit(0)))
-
-    def linked(xs: Column, start: Column, stream: str) -> Column:
-        def one(s: Column, i: Column) -> Column:
-            # A number without a filter is passed over.
-            j = F.when(F.get(xs, i - 1)["expr"] == "", i - 2).otherwise(i - 1)
-            return F.struct((start + i).alias("n"), s["prefix"].alias("prefix"), s["expr"].alias("expr"), F.get(xs, j)["prefix"].alias("before"), (start + j).alias("m"), F.lit(stream).alias("stream"))
-
-        return F.transform(xs, one)
-
-    both = F.concat(linked(F.col("v"), F.lit(0), ":v"), linked(F.col("a"), F.size("v"), ":a"))
-    rows = placed.select("program_id", "clip_no", "input_no", "base", F.explode(both).alias("s")).filter(F.col("s.expr") != "")
-    label = lambda p, n: F.concat(F.col(p), (F.col("base") + F.col(n)).cast("string"))
-    source = F.concat(F.col("input_no").cast("string"), F.col("s.stream"))
-    return rows.select(
-        "program_id", (F.col("base") + F.col("s.n")).cast("bigint").alias("seq"), "clip_no", F.coalesce(label("s.before", "s.m"), source).alias("input"), F.col("s.expr").alias("expr"), label("s.prefix", "s.n").alias("output")
-    )
+    chains = chains.withColumns({"nv": video.count(), "na": sound.count()})
+    placed = chains.withColumn("base", F.coalesce(F.sum(F.col("nv") + F.col("na")).over(before), F.lit(0)))
+    base, number = F.col("base"), F.col("input_no").cast("string")
+    placed = placed.withColumns(video.labels(base) | sound.labels(base + F.col("nv")))
+    return placed, video.links(base, F.concat(number, F.lit(":v"))) + sound.links(base + F.col("nv"), F.concat(number, F.lit(":a")))
+
+
+def filter_rows(clips: DataFrame, width: Column, height: Column) -> DataFrame:
+    """(program_id, seq, clip_no, input, expr, output) of every clip's chain."""
+    placed, links = _linked(clips, width, height)
+    rows = placed.select("program_id", "clip_no", F.explode(link_rows(links)).alias("f")).filter("f is not null")
+    return rows.select("program_id", F.col("f.at").alias("seq"), "clip_no", F.get("f.inputs", F.lit(0)).alias("input"), "f.expr", F.get("f.outputs", F.lit(0)).alias("output"))
+
+
+def filter_graphs(clips: DataFrame, width: Column, height: Column) -> DataFrame:
+    """(program_id, graph): what rendered(filter_rows()) gives; a clip's filters are joined inside its row, so that only clips are gathered."""
+    placed, links = _linked(clips, width, height)
+    gathered = placed.select("program_id", "clip_no", link_text(links).alias("x")).groupBy("program_id").agg(F.sort_array(F.collect_list(F.struct("clip_no", "x"))).alias("xs"))
+    return gathered.select("program_id", F.array_join(F.col("xs").getField("x"), ";").alias("graph"))
 
 
 def rendered(rows: DataFrame) -> DataFrame:

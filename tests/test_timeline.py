@@ -70,6 +70,14 @@ def test_filter_rows_shuffle_narrow_lines_once(spark):
         assert [nodes(made, n) for n in ("Exchange", "FileScan", "SortMergeJoin", "BroadcastHashJoin")] == [1, 1, 0, 0]
 
 
+def test_graphs_of_clips_are_joined_inside_their_rows(spark):
+    clips = timeline._clips(spark, SMALL).withColumn("chromakey", F.when(F.col("item_no") % 2 == 0, F.lit("#12AB34")))
+    clips = clips.withColumn("speed", F.when(F.col("item_no") % 3 == 0, F.lit(0.1)).otherwise(F.col("speed")))
+    size = F.lit(1280), F.lit(720)
+    whole, rows = filters.filter_graphs(clips, *size), filters.rendered(filters.filter_rows(clips, *size))
+    assert sorted(whole.collect()) == sorted(rows.collect()) and nodes(timeline.QUERIES["filter_graph_render"](spark, SMALL), "Generate") == 0
+
+
 def test_input_numbers_in_place_equal_the_joined_ones(spark):
     rng = random.Random(8)
     rows = [(p, i, rng.choice(["a", "b", "c", "d", None]), rng.choice([0, 1, 3, None])) for p in range(60) for i in range(rng.randint(1, 12))]
