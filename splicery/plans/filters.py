@@ -164,6 +164,14 @@ def link_text(links: list[Link]) -> Column:
     return F.concat_ws(";", *[F.array_join(x.each(Link.text), ";") if x.many else x.text() for x in links])
 
 
+def present(name: str) -> Column:
+    """The filters of the column `name`, an array of link_rows(), without nulls.
+
+    The column is named twice, which keeps its texts in a projection of their own: Spark compiles that, but not what a lambda function reads.
+    """
+    return F.when(F.size(name) > 0, F.filter(name, lambda f: f.isNotNull())).otherwise(F.col(name))
+
+
 class Chain:
     """The steps of a chain as columns of an item's row: a text for each, null where the item does not have it.
 

@@ -86,9 +86,9 @@ ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_ship
 
 def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as items of programs, with every attribute."""
-    lines = tables.table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy(*ORDER.split(", "))
-    made = lines.withColumn("item_no", F.row_number().over(order)).selectExpr(*LINES.replace("VARCHAR(9)", "STRING").split(", ", 2)[:2], "l_partkey AS p", "(l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 16 AS r", "item_no")
+    lines = tables.by_program(spark, sf_dir, "lineitem", "l_orderkey")
+    order = Window.partitionBy("program_id").orderBy(*ORDER.split(", "))
+    made = lines.withColumn("item_no", F.row_number().over(order)).selectExpr("program_id", LINES.replace("VARCHAR(9)", "STRING").split(", ")[1], "l_partkey AS p", "(l_partkey * 7 + l_suppkey * 3 + l_linenumber) % 16 AS r", "item_no")
     return made.withColumns({"kind": F.expr(KIND), "track_kind": F.expr(TRACK)}).withColumns({k: F.expr(e) for k, e in ATTRIBUTES.items()})
 
 
@@ -234,7 +234,7 @@ _RENDERED = f"(SELECT program_id, string_agg({_PADS('inputs')} || expr || {_PADS
 
 
 def program_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.graph_rows(graph.program_graphs(programs(spark, sf_dir), projects(spark, sf_dir)))
+    return graph.graph_rows(programs(spark, sf_dir), projects(spark, sf_dir))
 
 
 def program_command(spark: SparkSession, sf_dir: str) -> DataFrame:

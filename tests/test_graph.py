@@ -274,3 +274,11 @@ def test_graphs_known_by_heart(spark, items, fit, want, maps):
 
 def test_programs_without_pictures_have_no_graph(spark):
     assert graphs(spark, {1: [item("audio", "clip", asset="m")]}, {1: (640, 360, 30, "fill")}) == {}
+
+
+def test_whole_programs_read_their_lines_once(spark):
+    from splicery.program_queries import QUERIES
+
+    for name in ("program_graph", "program_command"):
+        lines = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert sum("l_orderkey" in x and "Relation " in x for x in lines) == 1
