@@ -240,15 +240,12 @@ def program_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def program_command(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole command of each program: inputs in order of their numbers, graph, maps, output arguments."""
     items, own = programs(spark, sf_dir), projects(spark, sf_dir)
-    rank = F.when(F.col("track_kind") == "video", F.when(F.col("kind").isin("clip", "freeze"), 0)).when(F.col("track_kind") == "audio", 1).when(F.col("kind") == "image", 2).when(F.col("kind") == "pip", 3)
-    numbered = resolve.input_numbers(items.withColumn("kind_rank", rank).filter("kind_rank is not null"))
-    inputs = numbered.groupBy("program_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("input_no", "asset"))), lambda x: F.concat(x["asset"], F.lit(".mp4"))).alias("inputs"))
     quality = F.when(F.col("program_id") % 2 == 0, "high").otherwise("low")
     outs = own.select("program_id", F.concat(F.col("program_id").cast("string"), F.lit(".mp4")).alias("path"), "fps", "width", "height", F.lit("h265").alias("codec"), quality.alias("quality"))
     args = filters.output_args(outs, values.encoder_table(spark), values.quality_table(spark)).select("program_id", "args")
-    made = graph.program_graphs(items, own).select("program_id", graph.graph_text(F.col("filters")).alias("graph"), "maps")
-    met = made.join(inputs, "program_id", "left").join(args, "program_id")
-    return met.select("program_id", filters.command_text(F.coalesce("inputs", F.array().cast("array<string>")), F.when(F.col("graph") != "", F.col("graph")), F.col("maps"), F.col("args")).alias("command"))
+    met = graph.program_texts(items, own).join(args, "program_id")
+    inputs = F.transform("inputs", lambda x: F.concat(x, F.lit(".mp4")))
+    return met.select("program_id", filters.command_text(inputs, F.when(F.col("graph") != "", F.col("graph")), F.col("maps"), F.col("args")).alias("command"))
 
 
 # -- errors and warnings ----------------------------------------------------------------------
